@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.consensus import label_consensus
+from ledgerloom.llm.grouping import coordinated_pairs, group_pairs
 from ledgerloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from ledgerloom.sources.tables import table
 
@@ -13,7 +15,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(nearest_neighbours(vectors, "wallet_address", "vector", recency="created_at"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_consensus(table(spark, sf_dir, "labels")).items.select("label_domain", "object_id", "consensus_label")
+
+
+def p2_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_consensus(table(spark, sf_dir, "labels"), least_reviewers=2).items
+
+
+def p2_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_consensus(table(spark, sf_dir, "labels")).reviewers
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_consensus(table(spark, sf_dir, "labels"), rounds=0).agreement
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = coordinated_pairs(table(spark, sf_dir, "wallet_similarities"), "wallet1", "wallet2", "is_coordinated", "computed_at", "id")
+    return group_pairs(pairs).withColumnRenamed("member", "wallet")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p2_items": p2_items, "p2_reviewers": p2_reviewers, "p2_agreement": p2_agreement,
+    "p4_found": p4_found,
+}
 
 _TOP5 = """
     usable AS (
@@ -25,6 +51,30 @@ _TOP5 = """
       FROM usable a JOIN usable b ON a.wallet_address <> b.wallet_address
       QUALIFY row_number() OVER (PARTITION BY a.wallet_address ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.wallet_address) <= 5)"""
 
+_JUDGED = r"""
+    sides AS (
+      SELECT label_domain, object_id, reviewer_id AS r, human_label AS l, reviewed_at AS t, updated_at AS u FROM labels
+      UNION ALL SELECT label_domain, object_id, second_reviewer_id, second_label, second_reviewed_at, updated_at FROM labels),
+    spelled AS (
+      SELECT label_domain, object_id, t, u, trim(regexp_replace(lower(r), '[\s\p{Z}_-]+', '_', 'g'), '_') AS reviewer,
+             trim(regexp_replace(lower(l), '[\s\p{Z}_-]+', '_', 'g'), '_') AS label FROM sides),
+    votes AS (
+      SELECT label_domain, object_id, reviewer, label FROM spelled WHERE reviewer <> '' AND label <> '' AND object_id IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY label_domain, object_id, reviewer ORDER BY t DESC NULLS LAST, u DESC NULLS LAST, label DESC) = 1)"""
+
 SQL = {
+    "p2_agreement": f"""WITH {_JUDGED},
+    cells AS (SELECT label_domain, object_id, label, count(*) AS c FROM votes GROUP BY ALL),
+    sizes AS (SELECT label_domain, object_id, sum(c) AS n, sum(c * c) AS sq FROM cells GROUP BY ALL HAVING sum(c) >= 2),
+    observed AS (SELECT label_domain, sum((n * n - sq) / (n - 1)) AS apart, sum(n) AS total, count(*) AS objects FROM sizes GROUP BY ALL),
+    margins AS (SELECT label_domain, label, sum(c) AS m FROM cells JOIN sizes USING (label_domain, object_id) GROUP BY ALL),
+    squares AS (SELECT label_domain, sum(m * m) AS msq FROM margins GROUP BY ALL)
+    SELECT label_domain, round(1 - (total - 1) * apart / (total * total - msq), 6) AS alpha, objects FROM observed JOIN squares USING (label_domain)""",
+    "p4_found": """WITH RECURSIVE newest AS (
+      SELECT least(wallet1, wallet2) AS u, greatest(wallet1, wallet2) AS v, is_coordinated FROM wallet_similarities WHERE wallet1 <> wallet2
+      QUALIFY row_number() OVER (PARTITION BY least(wallet1, wallet2), greatest(wallet1, wallet2) ORDER BY computed_at DESC NULLS LAST, id DESC) = 1),
+    linked AS (SELECT u, v FROM newest WHERE is_coordinated UNION SELECT v, u FROM newest WHERE is_coordinated),
+    reach AS (SELECT DISTINCT u AS wallet, u AS other FROM linked UNION SELECT r.wallet, l.v FROM reach r JOIN linked l ON l.u = r.other)
+    SELECT wallet, min(other) AS group_id FROM reach GROUP BY wallet""",
     "p1_found": f"WITH {_TOP5} SELECT DISTINCT least(id, neighbour) AS wallet1, greatest(id, neighbour) AS wallet2 FROM near",
 }
