@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.scratch import Scratch
@@ -31,8 +31,8 @@ def judgements(df: DataFrame, group: list[str], sides: list[tuple[str, str, str]
 
 @dataclass
 class Consensus:
-    """``items``: object, ``consensus_label``, ``confidence``, ``judgements``, ``agreement`` (share for the
-    consensus); ``reviewers``: domain, reviewer, label, ``reliability``, ``judgements``; ``agreement``: domain, ``alpha``, ``objects``."""
+    """``items``: domain, item, ``consensus_label``, ``confidence``, ``judgements``, ``agreement`` (share that gave this label);
+    ``reviewers``: domain, ``reviewer``, ``reliability``, ``judgements``; ``agreement``: domain, ``alpha``, ``objects``."""
 
     items: DataFrame
     reviewers: DataFrame
@@ -40,130 +40,141 @@ class Consensus:
 
 
 def consensus(
-    votes: DataFrame, domain: str, item: str, least_reviewers: int = 3, rounds: int = 25, tolerance: float = 1e-3, prior: float = 8.0,
+    votes: DataFrame, domain: str, item: str, least_reviewers: int = 3, rounds: int = 30, tolerance: float = 2e-3, prior: float = 6.0,
 ) -> Consensus:
     """Alternate weighted consensus and leave-one-out accuracy of reviewers until stable.
 
-    ``votes``: ``domain``, ``item``, ``reviewer``, ``label``, one row per item and reviewer. All items with two
-    or more votes teach the reviewers' accuracy; items with ``least_reviewers`` or more are returned.
+    ``votes``: ``domain``, ``item``, ``reviewer``, ``label``, one row per item and reviewer, no nulls but in the first
+    two. All items with two or more votes teach the reviewers' accuracy; items with ``least_reviewers`` or more are returned.
 
-    A vote for label c by reviewer r weighs ``ln(p (K - 1) / (1 - p))``, K being the labels of the domain
-    and p the probability that c is true when r says so. p is the mean, over r's votes for c, of the
-    posterior that the item's *other* votes give c (leave-one-out, so no reviewer confirms itself),
-    smoothed by ``prior`` votes towards r's accuracy in the domain, which in turn is smoothed towards
-    the domain's. It stops when no weight's p moves by ``tolerance``, or after ``rounds``.
+    A vote counts towards *every* label c of its domain, by ``ln P(r says s | c is true)``. So a reviewer who
+    is right in p of the cases adds the classic log-odds, one who always says the same adds nothing, and
+    one who reliably takes two labels for each other counts for the other one. The probabilities are
+    means, over the reviewer's votes, of what the item's *other* votes give (leave-one-out: no reviewer
+    confirms itself), smoothed by ``prior`` votes towards a reviewer who errs evenly with the same
+    accuracy, which is itself smoothed towards 0.7. Rounds end when no accuracy moves by ``tolerance``.
 
-    Ties go to the label with most plain votes, then the first by name. Agreement is Krippendorff's
-    alpha for nominal labels, which allows for missing ratings; null where no item has two votes or
-    where all labels are the same.
+    Ties go to the label that is first by name. Agreement is Krippendorff's alpha for nominal labels,
+    which allows for missing ratings; null where all labels are the same. A label known from one
+    domain is none of another. Empty input gives no rows.
 
-    Only sums leave the partitions: votes by item and label, then by reviewer and label. One item's
-    totals are folded over its labels, so no group of votes is ever gathered in one place.
+    What is summed per item and per (reviewer, label) is pre-aggregated before its shuffle, one item's
+    votes are never gathered, and the weights (reviewers x labels rows, each an array over the labels)
+    are joined, so neither many reviewers nor one much-judged item meet a limit.
     """
     scratch = Scratch(votes.sparkSession, "consensus")
-    key = [domain, item]
-    base = scratch.save(votes.select(*key, "reviewer", "label"))
-    kinds = scratch.save(base.groupBy(domain).agg(F.greatest(F.count_distinct("label"), F.lit(2)).alias("kinds")))
-    counts = base.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2")
-    taught = scratch.save(_same(base, counts, key).select(*key, "reviewer", "label"))
-
-    def tallied(source: DataFrame, weights: DataFrame | None) -> DataFrame:
-        w = source.withColumn("w", F.lit(1.5)) if weights is None else _same(source, weights.select(domain, "reviewer", "label", "w"), [domain, "reviewer", "label"])
-        return w
-
-    def totals(weighted: DataFrame) -> DataFrame:
-        """Per item and label the summed weight, and per item the sum of exponentials over all labels of the domain."""
-        by_label = weighted.groupBy(*key, "label").agg(F.sum("w").alias("t"), F.count("*").alias("plain"))
-        return by_label
-
-    def norm(by_label: DataFrame) -> DataFrame:
-        z = by_label.groupBy(*key).agg(F.sum(F.exp("t")).alias("z"), F.count("*").alias("seen"))
-        return _same(z, kinds, [domain]).withColumn("z", F.col("z") + F.col("kinds") - F.least("seen", "kinds")).select(*key, "z")
-
-    weights, before = None, None
-    for _ in range(rounds):
-        weighted = tallied(taught, weights)
-        by_label = totals(weighted)
-        mine = _same(_same(weighted, by_label.select(*key, "label", "t"), [*key, "label"]), norm(by_label), key)
-        others, rest = F.exp(F.col("t") - F.col("w")), F.col("z") - F.exp("t")
-        agreed = mine.withColumn("p", others / (F.greatest(rest, F.lit(0.0)) + others))
-        per_label = scratch.save(agreed.groupBy(domain, "reviewer", "label").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
-        new = scratch.save(_weights(per_label, kinds, domain, prior))
+    names = votes.groupBy(domain, "label").count()
+    place = Window.partitionBy(domain).orderBy("label")
+    known = scratch.save(names.select(domain, "label", (F.row_number().over(place) - 1).alias("s"), F.count("*").over(Window.partitionBy(domain)).alias("k")))
+    most = known.agg(F.max("k").alias("k")).first()["k"] or 0
+    objects = scratch.save(votes.groupBy(domain, item).agg(F.count("*").alias("n")).withColumn("oid", F.monotonically_increasing_id()))
+    coded = _null_safe(_null_safe(votes, objects, [domain, item]), known, [domain, "label"])
+    base = scratch.save(coded.select("oid", domain, "reviewer", "s", "n", "k"))
+    taught = base.where("n >= 2")
+    labels = [F.col("k") > c for c in range(most)]
+
+    def posterior(total: str, own: Column | None) -> list[Column]:
+        parts = [F.col(total)[c] - (own[c] if own is not None else F.lit(0.0)) for c in range(most)]
+        top = F.greatest(*parts, F.lit(-1e12))
+        mass = [F.when(ok, F.exp(x - top)).otherwise(0.0) for x, ok in zip(parts, labels, strict=True)]
+        return [m / sum(mass[1:], mass[0]) for m in mass]
+
+    def summed(source: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
+        weighed = _null_safe(source, model.select(domain, "reviewer", "s", "w", "base"), [domain, "reviewer", "s"])
+        whole = weighed.groupBy("oid").agg(F.array(*[F.sum(F.col("w")[c]) + F.max(F.col("base")[c]) for c in range(most)]).alias("total"))
+        return weighed, whole
+
+    tallies = taught.groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"))
+    model = _even_weights(tallies, most)
+    before = None
+    for _ in range(rounds if most else 0):
+        weighed, whole = summed(taught, model)
+        others = weighed.join(whole, "oid")
+        sums = scratch.save(
+            others.select(domain, "reviewer", "s", "k", *[q.alias(f"q{c}") for c, q in enumerate(posterior("total", F.col("w")))])
+            .groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"), F.array(*[F.sum(f"q{c}") for c in range(most)]).alias("q"))
+        )
+        new = scratch.save(_weights(sums, domain, most, prior))
         if before is not None:
-            moved = _same(new, before.select(domain, "reviewer", "label", F.col("p").alias("was")), [domain, "reviewer", "label"])
-            change = moved.agg(F.max(F.abs(F.col("p") - F.col("was"))).alias("d")).first()["d"]
+            moved = _null_safe(new, before.select(domain, "reviewer", "s", F.col("accuracy").alias("was")), [domain, "reviewer", "s"])
+            change = moved.agg(F.max(F.abs(F.col("accuracy") - F.col("was"))).alias("d")).first()["d"]
+            scratch.discard(before)
             if change is None or change < tolerance:
-                weights = new
+                model = new
                 break
-        if before is not None:
-            scratch.discard(before)
-        before = weights = new
-    # Votes on items with a single vote taught nothing; their reviewers get the plain weight.
-    final = _left(base, weights.select(domain, "reviewer", "label", "w"), [domain, "reviewer", "label"]) if weights is not None else base.withColumn("w", F.lit(1.5))
-    by_label = totals(final.withColumn("w", F.coalesce("w", F.lit(0.5))))
-    best = by_label.groupBy(*key).agg(
-        F.max_by("label", F.struct(F.round("t", 9), "plain", F.translate("label", _ORDER, _ORDER[::-1]))).alias("consensus_label"),
-        F.sum("plain").alias("judgements"), F.max(F.struct(F.round("t", 9).alias("t"), "plain")).alias("top"),
+        before = model = new
+    judged = base.where(F.col("n") >= least_reviewers)
+    said = judged.groupBy("oid", "s").agg(F.count("*").alias("c"))
+    whole = summed(judged, model)[1] if most else judged.select("oid").withColumn("total", F.array(F.lit(0.0)))
+    sizes = _null_safe(objects, known.select(domain, "k").distinct(), [domain])
+    scored = whole.join(sizes, "oid")
+    best = scored.select(
+        "oid", domain, item, "n", F.array(*[F.round(q, 9) for q in (posterior("total", None) if most else [F.lit(1.0)])]).alias("q")
+    ).withColumn("confidence", F.array_max("q")).withColumn("s", (F.array_position("q", F.col("confidence")) - 1).cast("int"))
+    named = _null_safe(best, known.select(domain, "s", F.col("label").alias("consensus_label")), [domain, "s"])
+    items = named.join(said, ["oid", "s"], "left").select(
+        domain, item, "consensus_label", F.round("confidence", 6).alias("confidence"), F.col("n").alias("judgements"),
+        F.round(F.coalesce("c", F.lit(0)) / F.col("n"), 6).alias("agreement"),
     )
-    share = F.col("top.plain") / F.col("judgements")
-    confident = _same(best, norm(by_label), key).withColumn("confidence", F.round(F.exp("top.t") / F.col("z"), 6))
-    items = confident.where(F.col("judgements") >= least_reviewers).select(*key, "consensus_label", "confidence", "judgements", F.round(share, 6).alias("agreement"))
-    if weights is None:
-        reviewers = base.select(domain, "reviewer", "label").limit(0).withColumn("reliability", F.lit(0.0)).withColumn("judgements", F.lit(0))
-    else:
-        reviewers = weights.select(domain, "reviewer", "label", F.round("p", 6).alias("reliability"), F.col("n").alias("judgements"))
-    return Consensus(items, reviewers, krippendorff(taught, domain, item))
-
+    reviewers = model.groupBy(domain, "reviewer").agg(F.round(F.max("accuracy"), 6).alias("reliability"), F.sum("n").alias("judgements"))
+    return Consensus(items, reviewers, krippendorff(votes, domain, item))
 
-#: For ties by name under a maximum: characters of labels, reversed by translation.
-_ORDER = "".join(map(chr, range(32, 127)))
 
+def _even_weights(tallies: DataFrame, most: int, accuracy: float = 0.7) -> DataFrame:
+    """The first round's weights: everyone is right in ``accuracy`` of the cases and errs evenly."""
+    k = F.greatest(F.col("k"), F.lit(2))
+    wrong = F.log((1 - F.lit(accuracy)) / (k - 1))
+    w = F.array(*[F.when(F.col("s") == c, F.log(F.lit(accuracy))).otherwise(wrong) for c in range(most)])
+    return tallies.withColumn("accuracy", F.lit(accuracy)).withColumn("w", w).withColumn("base", F.array(*[F.lit(0.0) for _ in range(most)]))
 
-def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join that takes null keys for equal."""
-    return _null_safe(left, right, on, "inner")
 
-
-def _left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return _null_safe(left, right, on, "left")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    r = right.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns])
-    cond = None
-    for c in on:
-        this = F.col(c).eqNullSafe(F.col(f"__{c}"))
-        cond = this if cond is None else cond & this
+def _weights(sums: DataFrame, domain: str, most: int, prior: float) -> DataFrame:
+    """Smoothed ``ln P(says s | c)`` per (domain, reviewer, s), with the reviewer's accuracy and the labels' log frequencies."""
+    span = range(most)
+    at_s = F.element_at("q", F.col("s") + 1)
+    person = sums.groupBy(domain, "reviewer").agg(
+        F.sum(at_s).alias("right"), F.sum("n").alias("votes"), F.array(*[F.sum(F.col("q")[c]) for c in span]).alias("true")
+    )
+    person = person.withColumn("accuracy", (F.col("right") + 0.7 * prior) / (F.col("votes") + prior)).drop("right", "votes")
+    shares = sums.groupBy(domain, "k").agg(F.array(*[F.sum(F.col("q")[c]) for c in span]).alias("f"), F.sum("n").alias("all")).select(
+        domain, F.array(*[F.log((F.col("f")[c] + 1) / (F.col("all") + F.col("k"))) for c in span]).alias("base")
+    )
+    joined = _null_safe(_null_safe(sums, person, [domain, "reviewer"]), shares, [domain])
+    spread = (1 - F.col("accuracy")) / (F.greatest(F.col("k"), F.lit(2)) - 1)
+    w = F.array(*[
+        F.log((F.col("q")[c] + prior * F.when(F.col("s") == c, F.col("accuracy")).otherwise(spread)) / (F.col("true")[c] + prior)) for c in span
+    ])
+    return joined.select(domain, "reviewer", "s", "k", "n", "accuracy", w.alias("w"), "base")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join that takes null keys for equal; of columns on both sides the left one stays."""
+    r = right.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in right.columns if c not in on and c not in left.columns])
+    cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
     return left.join(r, cond, how).drop(*[f"__{c}" for c in on])
 
 
-def _weights(per_label: DataFrame, kinds: DataFrame, domain: str, prior: float) -> DataFrame:
-    """Smoothed p and its log-odds per (domain, reviewer, label)."""
-    whole = per_label.groupBy(domain).agg((F.sum("s") / F.sum("n")).alias("overall"))
-    person = per_label.groupBy(domain, "reviewer").agg(F.sum("s").alias("ps"), F.sum("n").alias("pn"))
-    known = _same(_same(_same(per_label, person, [domain, "reviewer"]), whole, [domain]), kinds, [domain])
-    general = (F.col("ps") + prior * F.col("overall")) / (F.col("pn") + prior)
-    p = F.least(F.greatest((F.col("s") + prior * general) / (F.col("n") + prior), F.lit(0.005)), F.lit(0.995))
-    return known.withColumn("p", p).withColumn("w", F.log(F.col("p") * (F.col("kinds") - 1) / (1 - F.col("p")))).select(domain, "reviewer", "label", "p", "w", "n")
-
-
 def krippendorff(votes: DataFrame, domain: str, item: str) -> DataFrame:
     """Krippendorff's alpha per domain for nominal labels over items with two or more votes: ``alpha``, ``objects``."""
     n = F.col("n")
     by_label = votes.groupBy(domain, item, "label").agg(F.count("*").alias("c"))
     sizes = by_label.groupBy(domain, item).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).where(n >= 2)
     observed = sizes.groupBy(domain).agg(F.sum((n * n - F.col("sq")) / (n - 1)).alias("apart"), F.sum("n").alias("total"), F.count("*").alias("objects"))
-    kept = _same(by_label, sizes.select(domain, item), [domain, item])
+    kept = _null_safe(by_label, sizes.select(domain, item), [domain, item])
     margins = kept.groupBy(domain, "label").agg(F.sum("c").alias("m")).groupBy(domain).agg(F.sum(F.col("m") * F.col("m")).alias("msq"))
-    both = _same(observed, margins, [domain])
+    both = _null_safe(observed, margins, [domain])
     total = F.col("total")
     return both.select(
         domain, F.round(1 - F.try_divide((total - 1) * F.col("apart"), total * total - F.col("msq")), 6).alias("alpha"), "objects"
     )
 
 
-def label_consensus(labels: DataFrame, **options) -> Consensus:
-    """``consensus`` over first and second labels alike; objects are (``label_domain``, ``object_id``)."""
+def label_votes(labels: DataFrame) -> DataFrame:
+    """Judgements on (``label_domain``, ``object_id``), first and second labels alike; rows without an object are none."""
     sides = [("reviewer_id", "human_label", "reviewed_at"), ("second_reviewer_id", "second_label", "second_reviewed_at")]
-    votes = judgements(labels.where(F.col("object_id").isNotNull()), ["label_domain", "object_id"], sides, "updated_at")
-    return consensus(votes, "label_domain", "object_id", **options)
+    return judgements(labels.where(F.col("object_id").isNotNull()), ["label_domain", "object_id"], sides, "updated_at")
+
+
+def label_consensus(labels: DataFrame, **options) -> Consensus:
+    """``consensus`` of ``label_votes``."""
+    return consensus(label_votes(labels), "label_domain", "object_id", **options)

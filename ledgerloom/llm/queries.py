@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.consensus import label_consensus
+from ledgerloom.llm.consensus import krippendorff, label_consensus, label_votes
 from ledgerloom.llm.grouping import coordinated_pairs, group_pairs
 from ledgerloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from ledgerloom.sources.tables import table
@@ -28,7 +28,7 @@ def p2_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_consensus(table(spark, sf_dir, "labels"), rounds=0).agreement
+    return krippendorff(label_votes(table(spark, sf_dir, "labels")), "label_domain", "object_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
