@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.consensus import krippendorff, label_consensus, label_votes
 from ledgerloom.llm.grouping import coordinated_pairs, group_pairs
 from ledgerloom.llm.neighbours import nearest_neighbours, neighbour_pairs
+from ledgerloom.llm.leaks import find_leaks
+from ledgerloom.llm.tokens import encode_corpus
 from ledgerloom.sources.tables import table
 
 
@@ -36,9 +38,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(pairs).withColumnRenamed("member", "wallet")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_items": p2_items, "p2_reviewers": p2_reviewers, "p2_agreement": p2_agreement,
-    "p4_found": p4_found,
+    "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found,
 }
 
 _TOP5 = """
