@@ -8,6 +8,7 @@ from ledgerloom.llm.consensus import krippendorff, label_consensus, label_votes
 from ledgerloom.llm.grouping import coordinated_pairs, group_pairs
 from ledgerloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from ledgerloom.llm.leaks import find_leaks
+from ledgerloom.llm.stuffing import stuffed_pages
 from ledgerloom.llm.tokens import encode_corpus
 from ledgerloom.sources.tables import table
 
@@ -46,9 +47,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_items": p2_items, "p2_reviewers": p2_reviewers, "p2_agreement": p2_agreement,
-    "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found,
+    "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found,
 }
 
 _TOP5 = """
