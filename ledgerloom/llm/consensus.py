@@ -63,6 +63,7 @@ def consensus(
     are joined, so neither many reviewers nor one much-judged item meet a limit.
     """
     scratch = Scratch(votes.sparkSession, "consensus")
+    votes = scratch.save(votes)
     names = votes.groupBy(domain, "label").count()
     place = Window.partitionBy(domain).orderBy("label")
     known = scratch.save(names.select(domain, "label", (F.row_number().over(place) - 1).alias("s"), F.count("*").over(Window.partitionBy(domain)).alias("k")))
