@@ -28,12 +28,14 @@ def _join_bucket(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> Data
     return rows.join(table, cond, "left").drop("__tb", *[f"__t_{k}" for k in keys])
 
 
-def fill(df: DataFrame, keys: Sequence[str], time_col: str, tie: Sequence[str], values: dict[str, Column], forward: bool = True, bucket_s: int = DAY_S, include_self: bool = True) -> DataFrame:
+def fill(df: DataFrame, keys: Sequence[str], time_col: str, tie: Sequence[str], values: dict[str, Column], forward: bool = True, bucket_s: int = DAY_S, include_self: bool = True, bucket: Column | None = None) -> DataFrame:
     """Add, by name, the last (``forward``) or next value that isn't null, in the order (``time_col``, ``tie``).
 
-    With ``include_self`` a row's own value counts. Rows without a time are left out.
+    With ``include_self`` a row's own value counts. Rows without a time are left out. An order that isn't
+    a time needs a ``bucket``: a number that never falls along the order.
     """
-    rows = _bucketed(df.where(F.col(time_col).isNotNull()), time_col, bucket_s).select("*", *[c.alias(f"__v_{n}") for n, c in values.items()])
+    kept = df.where(F.col(time_col).isNotNull())
+    rows = (_bucketed(kept, time_col, bucket_s) if bucket is None else kept.withColumn("__b", bucket)).select("*", *[c.alias(f"__v_{n}") for n, c in values.items()])
     order = [time_col, *tie] if forward else [F.desc(time_col), *[F.desc(t) for t in tie]]
     near = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
     stamp = F.struct(F.col(time_col), *tie)
