@@ -82,7 +82,7 @@ def consensus(
 
     def summed(source: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
         weighed = _null_safe(source, model.select(domain, "reviewer", "s", "w", "base"), [domain, "reviewer", "s"])
-        whole = weighed.groupBy("oid").agg(F.array(*[F.sum(F.col("w")[c]) + F.max(F.col("base")[c]) for c in range(most)]).alias("total"))
+        whole = weighed.groupBy("oid").agg(F.array(*[F.sum(F.col("w")[c]) + F.coalesce(F.max(F.col("base")[c]), F.lit(0.0)) for c in range(most)]).alias("total"))
         return weighed, whole
 
     tallies = taught.groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"))
@@ -105,6 +105,13 @@ def consensus(
                 break
         before = model = new
     judged = base.where(F.col("n") >= least_reviewers)
+    if most and least_reviewers < 2:  # what was only said of items with a single vote has taught nothing
+        known_model = model.select(domain, "reviewer", "s", "w", "base")
+        others = base.where("n < 2").groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"))
+        fresh = _null_safe(_even_weights(others, most), known_model.select(domain, "reviewer", "s"), [domain, "reviewer", "s"], "left_anti")
+        blank = F.array(*[F.lit(None).cast("double") for _ in range(most)])
+        model = model.select(domain, "reviewer", "s", "k", "n", "accuracy", "w", "base").unionByName(
+            fresh.select(domain, "reviewer", "s", "k", "n", "accuracy", "w", blank.alias("base")))
     said = judged.groupBy("oid", "s").agg(F.count("*").alias("c"))
     whole = summed(judged, model)[1] if most else judged.select("oid").withColumn("total", F.array(F.lit(0.0)))
     sizes = _null_safe(objects, known.select(domain, "k").distinct(), [domain])

@@ -160,6 +160,11 @@ class Reader:
                 chars.append(len(token) if k[0] else 0)
             owner += [number] * (len(codes) - before)
         code, ident, owner = np.array(codes, np.int64), np.array(ids, np.int64), np.array(owner, np.int64)
+        # Letters in a row are a spaced-out word, also those that are words by themselves.
+        single = (code > 0) & (code < CODE["end"]) & (np.array(chars) == 1) & (code != CODE["number"])
+        beside = np.append(single[1:], False) | np.concatenate([[False], single[:-1]])
+        code[single & beside] = CODE["letter"]
+        ident[single & beside] = -1
         self.languages = np.where(ident < -1, -1 - ident, 0)
         self._lines(code, np.array(said, np.int64))
         return self._again(code, ident, owner), np.array(chars, np.float64), owner, code == 0
