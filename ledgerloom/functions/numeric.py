@@ -13,6 +13,12 @@ def safe_div(n: Column, d: Column, default: float | None = 0.0) -> Column:
     return F.when(d > 0, n / d).otherwise(F.lit(default))
 
 
+def tidy(c: Column | str, places: int) -> Column:
+    """A column rounded, with a nudge far below the last place, so that exact halves don't depend on the order of summing."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.round(value + F.lit(10.0 ** -(places + 3)), places) + 0.0
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import seconds
+from ledgerloom.functions.numeric import seconds, tidy
 
 DAY_S = 86_400
 
@@ -135,7 +135,7 @@ def smoothed(days: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.
     sides = F.array_compact(F.array("before", "after"))
     mean_side = F.aggregate(sides, F.lit(0.0), lambda a, x: a + x) / F.size(sides)
     step = base.select(
-        *keys, "day", "v", F.round(median, 6).alias("rolling_median"),
+        *keys, "day", "v", tidy(median, 6).alias("rolling_median"),
         F.when((F.abs(F.col("v") - F.col("mu")) > outlier * F.col("sd")) & (F.size(sides) > 0), mean_side).otherwise(F.col("v")).alias("cleaned"),
         ((F.col("v") - F.col("before")) / F.datediff("day", "day_before")).alias("velocity"),
     )
@@ -153,8 +153,8 @@ def smoothed(days: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.
     arrays = lists.withColumn("ewma", fold).withColumn("vel", F.filter(F.transform("s", lambda x: x["velocity"]), lambda x: x.isNotNull())).withColumn("vs", smooth)
     rows = arrays.select(*keys, "ewma", "vs", F.posexplode("s").alias("i", "x"))
     return rows.select(
-        *keys, F.col("x.day").alias("day"), "x.rolling_median", F.round(F.element_at("ewma", F.col("i") + 1), 6).alias("ewma"), F.round("x.cleaned", 6).alias("cleaned"),
-        F.round("x.velocity", 6).alias("velocity"), F.round(F.when((F.col("i") > 0) & F.col("vs").isNotNull(), F.element_at("vs", F.greatest(F.col("i"), F.lit(1)))), 6).alias("velocity_smooth"),
+        *keys, F.col("x.day").alias("day"), "x.rolling_median", tidy(F.element_at("ewma", F.col("i") + 1), 6).alias("ewma"), tidy("x.cleaned", 6).alias("cleaned"),
+        tidy("x.velocity", 6).alias("velocity"), tidy(F.when((F.col("i") > 0) & F.col("vs").isNotNull(), F.element_at("vs", F.greatest(F.col("i"), F.lit(1)))), 6).alias("velocity_smooth"),
     )
 
 

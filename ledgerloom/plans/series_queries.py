@@ -151,9 +151,9 @@ SQL = {
       SELECT a.mint, a.i, sum(b.velocity) / 5 AS vs FROM vel a CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS d) o
       JOIN vel b ON b.mint = a.mint AND b.i = CASE WHEN a.i + d < 1 THEN 1 - (a.i + d) WHEN a.i + d > a.n THEN 2 * a.n + 1 - (a.i + d) ELSE a.i + d END
       WHERE a.n >= 5 GROUP BY a.mint, a.i)
-    SELECT n.mint, strftime(n.day, '%Y-%m-%d') AS day, round(rm, 6) AS rolling_median, round(e.ewma, 6) AS ewma,
-           round(CASE WHEN abs(volume - mu) > 2.5 * sd AND (before IS NOT NULL OR after IS NOT NULL) THEN (coalesce(before, 0) + coalesce(after, 0)) / ((before IS NOT NULL)::INT + (after IS NOT NULL)::INT) ELSE volume END, 6) AS cleaned,
-           round(v.velocity, 6) AS velocity, round(f.vs, 6) AS velocity_smooth
+    SELECT n.mint, strftime(n.day, '%Y-%m-%d') AS day, round(rm + 1e-9, 6) + 0.0 AS rolling_median, round(e.ewma + 1e-9, 6) + 0.0 AS ewma,
+           round(CASE WHEN abs(volume - mu) > 2.5 * sd AND (before IS NOT NULL OR after IS NOT NULL) THEN (coalesce(before, 0) + coalesce(after, 0)) / ((before IS NOT NULL)::INT + (after IS NOT NULL)::INT) ELSE volume END + 1e-9, 6) + 0.0 AS cleaned,
+           round(v.velocity + 1e-9, 6) + 0.0 AS velocity, round(f.vs + 1e-9, 6) + 0.0 AS velocity_smooth
     FROM n JOIN e ON e.mint = n.mint AND e.i = n.i LEFT JOIN vel v ON v.mint = n.mint AND v.i = n.i - 1 LEFT JOIN five f ON f.mint = n.mint AND f.i = n.i - 1""",
     "volume_trends": f"""WITH {_DAYS},
     p AS (SELECT mint, volume AS v, CAST(day - DATE '2000-01-01' AS DOUBLE) AS x, row_number() OVER (PARTITION BY mint ORDER BY day) AS i, count(*) OVER (PARTITION BY mint) AS n FROM days),
