@@ -22,7 +22,7 @@ from ledgerloom.scratch import Scratch
 
 SOLVED = "node long, root long, steps long, low long, circular boolean"
 #: Links one merging task may hold (about 100 bytes each).
-MERGE_LINKS = 2_000_000
+MERGE_LINKS = 1_000_000
 
 
 def compress(node: np.ndarray, root: np.ndarray, steps: np.ndarray, low: np.ndarray, circular: np.ndarray) -> tuple[np.ndarray, ...]:
