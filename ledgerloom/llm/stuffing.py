@@ -38,9 +38,9 @@ FUNCTION_WORDS = {
     "de": {
         "determiner": "der die das den dem eine einen jede",
         "preposition": "von bei nach vor aus auf für über um im am mit zu ohne rund",
-        "conjunction": "und aber dass was weil weshalb während",
-        "pronoun": "wir es",
-        "verb": "ist wird halten",
+        "conjunction": "und aber dass was weil weshalb während wie als",
+        "pronoun": "wir es sich",
+        "verb": "ist wird werden halten",
         "adverb": "nicht nun trotzdem kaum später noch alles",
     },
     "es": {
@@ -261,20 +261,24 @@ def odd_shares(
     n, foreign = len(texts), code == CODE["other script"]
     if not model.bits:
         return np.zeros(n), np.zeros(n)
-    # A word of another script, and what follows it, is neither odd nor usual: the model hasn't learned it.
-    neutral = foreign | np.concatenate([[False], foreign[:-1]]) | reader.silent
+    # A word of another script is neither odd nor usual: the model hasn't learned it. What follows it neither.
+    neutral = np.concatenate([[False], foreign[:-1]]) | reader.silent
     at = trigrams(code)
-    each = [np.where(neutral, 0.0, bits[at] + model.break_bits * reader.broken)[~first] for bits in model.bits]
-    code, chars, owner = (x[~first] for x in (code, chars, owner))
+    known = ~first & ~foreign
+    total = np.bincount(owner, weights=chars, minlength=n)
+    each = [np.where(neutral, 0.0, bits[at] + model.break_bits * reader.broken)[known] for bits in model.bits]
+    code, chars, owner = (x[known] for x in (code, chars, owner))
     near = lambda mask: local_mean(mask.astype(np.float64), owner, half)
     around = np.min([local_mean(bits, owner, half) for bits in each], axis=0)
-    words, heard = near(code < CODE["end"]), near(np.isin(code, AGAIN))
+    words, heard, function = near(code < CODE["end"]), near(np.isin(code, AGAIN)), near(code <= len(FUNCTION_KINDS))
     content = heard + near(np.isin(code, AGAIN - 1))
-    abnormal = ((around > high) | (around < -low)) & (near(np.isin(code, DATA)) < data_share * words)
-    # The check on what the model finds: prose has function words and says new things.
-    odd = abnormal & ((near(code <= len(FUNCTION_KINDS)) < function_share * words) | (heard > again_share * content))
+    abnormal = (around > high) | (around < -low)
+    # The check on what the model finds: prose has function words and says new things. Saying nothing new
+    # without any function word is odd at every surprisal.
+    circling = (heard > 0.9 * content) & (function < 0.05 * words) & (content > 0.5 * words)
+    odd = (abnormal & ((function < function_share * words) | (heard > again_share * content))) | circling
+    odd &= near(np.isin(code, DATA)) < data_share * words
     count = lambda w: np.bincount(owner, weights=w, minlength=n)
-    total = count(chars)
     judged = count((code < CODE["end"]).astype(np.float64)) >= least_words
     share = np.divide(count(chars * odd), total, out=np.zeros(n), where=(total > 0) & judged)
     return share, count(around) / np.maximum(np.bincount(owner, minlength=n), 1)
@@ -321,7 +325,8 @@ def page_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``half`` neighbours on each side) is abnormal if its mean surprisal is more than ``high`` bits above
     the mean of prose, or more than ``low`` below it, unless ``data_share`` of its words are numbers and
     codes. It is odd if moreover less than ``function_share`` of its words are function words, or more
-    than ``again_share`` of its content words were heard shortly before. ``options`` are these, by name.
+    than ``again_share`` of its content words were heard shortly before. A stretch that has hardly any
+    function word and says nothing new is odd at any surprisal. ``options`` are these, by name.
 
     Null, empty and blank texts have share 0, as texts of under ``least_words`` words have; so has any text if the corpus holds no prose to learn
     from, and text in scripts that the function words don't cover. Empty tables give no rows.
