@@ -72,17 +72,23 @@ def consensus(
     coded = _null_safe(_null_safe(votes, objects, [domain, item]), known, [domain, "label"])
     base = scratch.save(coded.select("oid", domain, "reviewer", "s", "n", "k"))
     taught = base.where("n >= 2")
-    labels = [F.col("k") > c for c in range(most)]
+    span = range(most)
+
+    def posterior(df: DataFrame, keep: list[str], own: bool) -> DataFrame:
+        """``keep`` (with ``k``) and ``q0`` ..: the labels' probabilities by ``total``, less the row's own weights ``w`` if ``own``.
 
-    def posterior(total: str, own: Column | None) -> list[Column]:
-        parts = [F.col(total)[c] - (own[c] if own is not None else F.lit(0.0)) for c in range(most)]
-        top = F.greatest(*parts, F.lit(-1e12))
-        mass = [F.when(ok, F.exp(x - top)).otherwise(0.0) for x, ok in zip(parts, labels, strict=True)]
-        return [m / sum(mass[1:], mass[0]) for m in mass]
+        In steps, as plans grow with nesting, and as SQL text, which is built at once.
+        """
+        names = [f"`{x}`" for x in keep]
+        parts = df.selectExpr(*names, *[f"total[{c}]{f' - w[{c}]' if own else ''} AS p{c}" for c in span])
+        topped = parts.selectExpr("*", f"greatest(-1e12D, {', '.join(f'CASE WHEN k > {c} THEN p{c} END' for c in span)}) AS top")
+        mass = topped.selectExpr(*names, *[f"CASE WHEN k > {c} THEN exp(p{c} - top) ELSE 0D END AS m{c}" for c in span])
+        whole = mass.selectExpr("*", f"{' + '.join(f'm{c}' for c in span)} AS z")
+        return whole.selectExpr(*names, *[f"m{c} / z AS q{c}" for c in span])
 
     def summed(source: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
         weighed = _null_safe(source, model.select(domain, "reviewer", "s", "w", "base"), [domain, "reviewer", "s"])
-        whole = weighed.groupBy("oid").agg(F.array(*[F.sum(F.col("w")[c]) + F.coalesce(F.max(F.col("base")[c]), F.lit(0.0)) for c in range(most)]).alias("total"))
+        whole = weighed.groupBy("oid").agg(_array(f"sum(w[{c}]) + coalesce(max(base[{c}]), 0D)" for c in span).alias("total"))
         return weighed, whole
 
     tallies = taught.groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"))
@@ -92,8 +98,8 @@ def consensus(
         weighed, whole = summed(taught, model)
         others = weighed.join(whole, "oid")
         sums = scratch.save(
-            others.select(domain, "reviewer", "s", "k", *[q.alias(f"q{c}") for c, q in enumerate(posterior("total", F.col("w")))])
-            .groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"), F.array(*[F.sum(f"q{c}") for c in range(most)]).alias("q"))
+            posterior(others, [domain, "reviewer", "s", "k"], True)
+            .groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"), _array(f"sum(q{c})" for c in span).alias("q"))
         )
         new = scratch.save(_weights(sums, domain, most, prior))
         if before is not None:
@@ -116,9 +122,10 @@ def consensus(
     whole = summed(judged, model)[1] if most else judged.select("oid").withColumn("total", F.array(F.lit(0.0)))
     sizes = _null_safe(objects, known.select(domain, "k").distinct(), [domain])
     scored = whole.join(sizes, "oid")
-    best = scored.select(
-        "oid", domain, item, "n", F.array(*[F.round(q, 9) for q in (posterior("total", None) if most else [F.lit(1.0)])]).alias("q")
-    ).withColumn("confidence", F.array_max("q")).withColumn("s", (F.array_position("q", F.col("confidence")) - 1).cast("int"))
+    kept = ["oid", domain, item, "n", "k"]
+    likely = posterior(scored, kept, False) if most else scored.select(*kept, F.lit(1.0).alias("q0"))
+    best = likely.select(*kept, F.array(*[F.round(f"q{c}", 9) for c in range(max(most, 1))]).alias("q")).withColumn(
+        "confidence", F.array_max("q")).withColumn("s", (F.array_position("q", F.col("confidence")) - 1).cast("int"))
     named = _null_safe(best, known.select(domain, "s", F.col("label").alias("consensus_label")), [domain, "s"])
     items = named.join(said, ["oid", "s"], "left").select(
         domain, item, "consensus_label", F.round("confidence", 6).alias("confidence"), F.col("n").alias("judgements"),
@@ -128,6 +135,11 @@ def consensus(
     return Consensus(items, reviewers, krippendorff(votes, domain, item))
 
 
+def _array(parts) -> Column:
+    """An array of SQL expressions; one call instead of many for each element."""
+    return F.expr(f"array({', '.join(parts)})")
+
+
 def _even_weights(tallies: DataFrame, most: int, accuracy: float = 0.7) -> DataFrame:
     """The first round's weights: everyone is right in ``accuracy`` of the cases and errs evenly."""
     k = F.greatest(F.col("k"), F.lit(2))
@@ -141,17 +153,15 @@ def _weights(sums: DataFrame, domain: str, most: int, prior: float) -> DataFrame
     span = range(most)
     at_s = F.element_at("q", F.col("s") + 1)
     person = sums.groupBy(domain, "reviewer").agg(
-        F.sum(at_s).alias("right"), F.sum("n").alias("votes"), F.array(*[F.sum(F.col("q")[c]) for c in span]).alias("true")
+        F.sum(at_s).alias("right"), F.sum("n").alias("votes"), _array(f"sum(q[{c}])" for c in span).alias("held")
     )
     person = person.withColumn("accuracy", (F.col("right") + 0.7 * prior) / (F.col("votes") + prior)).drop("right", "votes")
-    shares = sums.groupBy(domain, "k").agg(F.array(*[F.sum(F.col("q")[c]) for c in span]).alias("f"), F.sum("n").alias("all")).select(
-        domain, F.array(*[F.log((F.col("f")[c] + 1) / (F.col("all") + F.col("k"))) for c in span]).alias("base")
+    shares = sums.groupBy(domain, "k").agg(_array(f"sum(q[{c}])" for c in span).alias("f"), F.sum("n").alias("total_n")).select(
+        domain, _array(f"ln((f[{c}] + 1) / (total_n + k))" for c in span).alias("base")
     )
     joined = _null_safe(_null_safe(sums, person, [domain, "reviewer"]), shares, [domain])
-    spread = (1 - F.col("accuracy")) / (F.greatest(F.col("k"), F.lit(2)) - 1)
-    w = F.array(*[
-        F.log((F.col("q")[c] + prior * F.when(F.col("s") == c, F.col("accuracy")).otherwise(spread)) / (F.col("true")[c] + prior)) for c in span
-    ])
+    spread = "(1 - accuracy) / (greatest(k, 2) - 1)"
+    w = _array(f"ln((q[{c}] + {prior}D * CASE WHEN s = {c} THEN accuracy ELSE {spread} END) / (held[{c}] + {prior}D))" for c in span)
     return joined.select(domain, "reviewer", "s", "k", "n", "accuracy", w.alias("w"), "base")
 
 
