@@ -46,7 +46,7 @@ def group_pairs(pairs: DataFrame) -> DataFrame:
     seeds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select("u", "v").unionByName(edges.select(v.alias("u"), u.alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         proposals = scratch.save(
             both.join(least, "u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m")).distinct()
         )
@@ -59,15 +59,17 @@ def group_pairs(pairs: DataFrame) -> DataFrame:
         dropped.append(verdict.where(~F.col("kept")).select("x", "parent"))
         # Kept vertices that no remaining pair touches are the least of their group.
         alive = after.select("u").unionByName(after.select(v.alias("u"))).distinct()
-        seeds.append(scratch.save(verdict.where("kept").join(alive, F.col("x") == F.col("u"), "left_anti").select("x")))
-        scratch.discard(edges, proposals, least)
+        seeds.append(verdict.where("kept").join(alive, F.col("x") == F.col("u"), "left_anti").select("x"))
+        scratch.discard(proposals)  # the pairs stay: seeds are told by them below
         edges = after
     labels = None
-    for gone, ended in zip(reversed(dropped), reversed(seeds), strict=True):
+    for level, (gone, ended) in enumerate(zip(reversed(dropped), reversed(seeds), strict=True), 1):
         below = ended.select(F.col("x").alias("member"), F.col("x").alias("group_id"))
         known = below if labels is None else labels.unionByName(below)
         flowed = gone.join(known, gone.parent == known.member).select(F.col("x").alias("member"), "group_id")
-        labels = scratch.save(known.unionByName(flowed))
+        labels = known.unionByName(flowed)
+        if level % 2 == 0 or level == len(dropped):  # each level reads the one below it twice
+            labels = scratch.save(labels)
     if labels is None:
         kind = dict(pairs.dtypes)["u"]
         return pairs.sparkSession.createDataFrame([], f"member {kind}, group_id {kind}")
