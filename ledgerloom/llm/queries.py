@@ -18,6 +18,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(nearest_neighbours(vectors, "wallet_address", "vector", recency="created_at"))
 
 
+def p1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with factor one, which SQL can check; ``p1_found`` may miss a few pairs."""
+    near = nearest_neighbours(table(spark, sf_dir, "wallet_embeddings"), "wallet_address", "vector", recency="created_at", relax=1.0)
+    return near.withColumnRenamed("id", "wallet_address")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_consensus(table(spark, sf_dir, "labels")).items.select("label_domain", "object_id", "consensus_label")
 
@@ -52,7 +58,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_items": p2_items, "p2_reviewers": p2_reviewers, "p2_agreement": p2_agreement,
+    "p1_found": p1_found, "p1_exact": p1_exact, "p2_found": p2_found, "p2_items": p2_items, "p2_reviewers": p2_reviewers, "p2_agreement": p2_agreement,
     "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found,
 }
 
@@ -91,5 +97,6 @@ SQL = {
     linked AS (SELECT u, v FROM newest WHERE is_coordinated UNION SELECT v, u FROM newest WHERE is_coordinated),
     reach AS (SELECT DISTINCT u AS wallet, u AS other FROM linked UNION SELECT r.wallet, l.v FROM reach r JOIN linked l ON l.u = r.other)
     SELECT wallet, min(other) AS group_id FROM reach GROUP BY wallet""",
-    "p1_found": f"WITH {_TOP5} SELECT DISTINCT least(id, neighbour) AS wallet1, greatest(id, neighbour) AS wallet2 FROM near",
+    "p1_exact": f"""WITH {_TOP5} SELECT id AS wallet_address, neighbour, similarity,
+    CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS INT) AS rank FROM near""",
 }
