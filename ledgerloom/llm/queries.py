@@ -10,7 +10,7 @@ from ledgerloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from ledgerloom.llm.leaks import find_leaks
 from ledgerloom.llm.stuffing import stuffed_pages
 from ledgerloom.llm.tokens import encode_corpus
-from ledgerloom.sources.tables import table
+from ledgerloom.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +46,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+    return stuffed_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id")
 
 
 QUERIES = {
