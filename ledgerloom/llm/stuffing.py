@@ -228,6 +228,9 @@ class Model:
         #: Surprisal of a line that ends before its sentence does; lines aren't part of the trigrams.
         self.break_bits = break_bits
         self.bits = []
+        # Surprisal of hearing a content word again, among the content words of all prose.
+        seen = counts.reshape(-1, SIZE).sum(axis=0)
+        self.heard_bits = -np.log2((seen[AGAIN].sum() + 0.5) / (seen[AGAIN].sum() + seen[AGAIN - 1].sum() + 1))
         for c3 in counts.reshape(-1, SIZE, SIZE, SIZE).astype(np.float64):
             c2, c1, total = c3.sum(axis=0), c3.sum(axis=(0, 1)), c3.sum()
             if not total:
@@ -279,7 +282,11 @@ def odd_shares(
     odd = (abnormal & ((function < function_share * words) | (heard > again_share * content))) | circling
     odd &= near(np.isin(code, DATA)) < data_share * words
     count = lambda w: np.bincount(owner, weights=w, minlength=n)
-    judged = count((code < CODE["end"]).astype(np.float64)) >= least_words
+    # What few words hold is judged by the bits of their odd stretches' content words, links and tags: as many as a
+    # whole stretch at the threshold has. Codes, numbers and punctuation are no evidence of stuffing.
+    telling = odd & np.isin(code, [*AGAIN, *(AGAIN - 1), CODE["link"], CODE["tag"]])
+    evidence = count(telling * np.where(circling, np.isin(code, AGAIN) * model.heard_bits, np.abs(around)))
+    judged = (count((code < CODE["end"]).astype(np.float64)) >= least_words) | (evidence >= high * (2 * half + 1))
     share = np.divide(count(chars * odd), total, out=np.zeros(n), where=(total > 0) & judged)
     return share, count(around) / np.maximum(np.bincount(owner, minlength=n), 1)
 
@@ -328,7 +335,10 @@ def page_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     than ``again_share`` of its content words were heard shortly before. A stretch that has hardly any
     function word and says nothing new is odd at any surprisal. ``options`` are these, by name.
 
-    Null, empty and blank texts have share 0, as texts of under ``least_words`` words have; so has any text if the corpus holds no prose to learn
+    A text of under ``least_words`` words counts once the content words, links and tags of its odd stretches hold as
+    many bits as a whole stretch at the threshold, ``high`` * (2 ``half`` + 1): a dozen links do, a short sentence doesn't.
+
+    Null, empty and blank texts have share 0, as short ones without that evidence have; so has any text if the corpus holds no prose to learn
     from, and text in scripts that the function words don't cover. Empty tables give no rows.
     """
     counts = np.zeros(len(LANGUAGES) * SIZE**3)

@@ -44,6 +44,17 @@ def test_finds_stuffed_pages_and_nothing_else(spark):
     assert flagged(spark, texts) == set(range(first, first + len(bad) + 1))
 
 
+def test_short_pages_are_judged_by_evidence(spark):
+    good, _, _ = corpus(3)
+    links = [f"https://site{i}.example/p/{i}" for i in range(12)]
+    bad = ["\n".join(links), " | ".join(links), " ".join(f"#Morex{w}" for w in ("Wallet", "Presale", "Code", "Airdrop", "Staking", "Holders")),
+           "buy morex, best morex wallet, cheap morex presale, morex airdrop code, top morex holders", "morex " * 12]
+    fine = ["https://site1.example/p/1", "gm gm gm", "Free morex always costs somebody.", "ß", '{\n  "lot_1": 0.2,\n  "lot_2": 314210710\n}\nFree morex always costs somebody.']
+    texts = [*good, *fine, *bad]
+    first = len(good) + len(fine)
+    assert flagged(spark, texts) == set(range(first, first + len(bad)))
+
+
 def test_no_prose_no_rows_and_long_texts(spark):
     good, bad, _ = corpus(2)
     assert flagged(spark, []) == set() and flagged(spark, [None, ""]) == set()
