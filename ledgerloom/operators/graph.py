@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,25 +58,49 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(state.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(``node``, ``rank``), ranks summing to 1; what dangling nodes hold is spread evenly. A fixed number of rounds."""
+def converged(scratch: Scratch, state: DataFrame, step: Callable[[DataFrame], DataFrame], tolerance: float, rounds: int, at_once: int = 10, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(``node``, ``x``) after so many ``step``s, ``at_once`` to a job, that the last job changed ``x`` by less than ``tolerance`` of its sum in all.
+
+    ``finish`` is applied to each job's result. ``rounds`` steps without that are an error.
+    """
+    for _ in range(0, rounds, at_once):
+        new = state
+        for _ in range(at_once):
+            new = step(new)
+        new = raw = scratch.save(new)
+        if finish:
+            new = scratch.save(finish(raw))
+            scratch.discard(raw)
+        change = new.join(state.withColumnRenamed("x", "was"), "node").agg(F.sum(F.abs(F.col("x") - F.col("was"))).alias("d"), F.sum("x").alias("s")).first()
+        scratch.discard(state)
+        state = new
+        if not change["s"] or change["d"] <= tolerance * change["s"]:
+            return state
+    raise RuntimeError(f"no convergence within {rounds} rounds")
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 2000, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(``node``, ``rank``), ranks summing to 1; what dangling nodes hold is spread evenly. Iterated until it settles.
+
+    What is spread evenly only scales the ranks, so the rounds leave it out and the sum is set to 1 at the end.
+    """
     scratch = Scratch(edges.sparkSession, "pagerank")
     e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
     out = e.groupBy("src").agg(F.count("*").alias("out"))
     links = scratch.save(e.join(out, "src"))
-    nodes = scratch.save(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(out.withColumnRenamed("src", "node"), "node", "left"))
+    nodes = scratch.save(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     n = nodes.count()
     if not n:
         return nodes.select("node").withColumn("rank", F.lit(0.0))
-    ranks = scratch.save(nodes.withColumn("rank", F.lit(1.0 / n)))
-    for _ in range(rounds):
-        lost = ranks.where(F.col("out").isNull()).agg(F.sum("rank").alias("r")).first()["r"] or 0.0
-        given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        moved = nodes.join(given, nodes.node == given.dst, "left").select("node", "out", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = scratch.save(moved)
-        scratch.discard(ranks)
-        ranks = new
-    return ranks.select("node", F.round("rank", 8).alias("rank"))
+    base = nodes.withColumn("x", F.lit(1.0 / n))
+
+    def step(ranks: DataFrame) -> DataFrame:
+        given = links.join(ranks.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (damping * F.col("x") / F.col("out")).alias("x"))
+        return given.unionByName(base).groupBy("node").agg(F.sum("x").alias("x"))
+
+    ranks = converged(scratch, scratch.save(base), step, tolerance, rounds)
+    total = ranks.agg(F.sum("x").alias("s")).first()["s"]
+    return ranks.select("node", F.round(F.col("x") / total, 8).alias("rank"))
 
 
 def ancestors(edges: DataFrame, depth: int = 3, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -212,7 +238,7 @@ def pair_overlaps(pairs: DataFrame, holdings: DataFrame, a: str, b: str, key: st
     return sized.select(a, b, sh.alias("shared"), F.round(safe_div(sh, union), 6).alias("jaccard"))
 
 
-def random_walks(edges: DataFrame, walks: int = 5, length: int = 10, seed: int = 42) -> DataFrame:
+def random_walks(edges: DataFrame, walks: int = 200, length: int = 30, seed: int = 42) -> DataFrame:
     """(``walk``, ``nodes``): walks from every node of an undirected graph, each step chosen by a hash, so repeatable.
 
     A step takes the neighbour numbered ``hash mod degree``, found by an equi-join on (node, number).
@@ -223,19 +249,24 @@ def random_walks(edges: DataFrame, walks: int = 5, length: int = 10, seed: int =
     numbered = scratch.save(both.select(F.col("u").alias("node"), F.col("v").alias("to"), (F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1).alias("i")))
     deg = scratch.save(numbered.groupBy("node").agg(F.count("*").alias("d")))
     state = deg.select("node", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("w")).withColumn("walk", F.concat_ws("#", "node", "w")).withColumn("nodes", F.array("node"))
+    saved = None
     for step in range(length - 1):
         pick = state.join(deg, "node").withColumn("i", F.pmod(F.xxhash64("walk", F.lit(step), F.lit(seed)), F.col("d")).cast("int"))
         moved = pick.join(numbered, ["node", "i"]).select(F.col("to").alias("node"), "walk", F.concat("nodes", F.array("to")).alias("nodes"))
-        state = scratch.save(moved) if step % 3 == 2 else moved
+        state = moved
+        if step % 3 == 2:
+            state = scratch.save(moved)
+            scratch.discard(saved)
+            saved = state
     return state.select("walk", "nodes")
 
 
-def node_vectors(walks: DataFrame, size: int = 16, seed: int = 42) -> DataFrame:
+def node_vectors(walks: DataFrame, size: int = 64, window: int = 10, seed: int = 42) -> DataFrame:
     """(``node``, ``vector``) learned from walks by skip-gram."""
     from pyspark.ml.feature import Word2Vec
 
     words = walks.select(F.transform("nodes", lambda x: x.cast("string")).alias("words"))
-    model = Word2Vec(vectorSize=size, minCount=0, seed=seed, maxIter=1, inputCol="words", outputCol="out").fit(words)
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, seed=seed, maxIter=1, inputCol="words", outputCol="out").fit(words)
     return model.getVectors().select(F.col("word").alias("node"), "vector")
 
 

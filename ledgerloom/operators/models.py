@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import seconds
-from ledgerloom.operators.graph import shared_item_groups, undirected
+from ledgerloom.operators.graph import converged, shared_item_groups, undirected
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.operators.series import fill, with_gaps
 from ledgerloom.scratch import Scratch
@@ -49,20 +49,23 @@ def synchronised_groups(rows: DataFrame, item: str, who: str, time_col: str, tie
     return shared_item_groups(hub.join(wide, "run"), who, "run", least)
 
 
-def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(``node``, ``centrality``) of an undirected graph by power iteration on A + I, length one; a fixed number of rounds."""
+def eigenvector(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 20_000) -> DataFrame:
+    """(``node``, ``centrality``) of an undirected graph by power iteration on A + I, length one; iterated until it settles."""
     scratch = Scratch(edges.sparkSession, "eigenvector")
     e = undirected(edges, "u", "v")
-    both = scratch.save(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    state = scratch.save(both.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)))
-    for _ in range(rounds):
-        heard = both.join(state.select(F.col("node").alias("v"), "x"), "v").select(F.col("u").alias("node"), "x").unionByName(state)
-        raw = heard.groupBy("node").agg(F.sum("x").alias("x"))
-        norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-        new = scratch.save(raw.join(F.broadcast(norm)).select("node", (F.col("x") / F.col("n")).alias("x")))  # one row
-        scratch.discard(state)
-        state = new
-    return state.select("node", F.round("x", 6).alias("centrality"))
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    linked = scratch.save(both.unionByName(both.select("u", F.col("u").alias("v")).distinct()))
+    nodes = scratch.save(linked.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)))
+
+    def step(state: DataFrame) -> DataFrame:
+        return linked.join(state.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("x").alias("x"))
+
+    def unit(state: DataFrame) -> DataFrame:
+        norm = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+        return state.join(F.broadcast(norm)).select("node", (F.col("x") / F.col("n")).alias("x"))  # one row
+
+    state = converged(scratch, nodes, step, tolerance, rounds, finish=unit)
+    return unit(state).select("node", F.round("x", 6).alias("centrality"))
 
 
 def kmeans(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> DataFrame:

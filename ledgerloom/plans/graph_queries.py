@@ -19,7 +19,7 @@ def funding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funding_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pagerank(funding(spark, sf_dir), rounds=12)
+    return G.pagerank(funding(spark, sf_dir))
 
 
 def funding_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def synchronised_wallets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.eigenvector(_pairs(spark, sf_dir), rounds=15)
+    return M.eigenvector(_pairs(spark, sf_dir))
 
 
 def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def position_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wallet_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.random_walks(_pairs(spark, sf_dir), walks=3, length=6).select("walk", F.array_join("nodes", ">").alias("nodes"))
+    return G.random_walks(_pairs(spark, sf_dir)).select("walk", F.array_join("nodes", ">").alias("nodes"))
 
 
 QUERIES = {f.__name__: f for f in (
