@@ -16,18 +16,18 @@ from ledgerloom.operators.series import fill, with_gaps
 from ledgerloom.scratch import Scratch
 
 
-def permutation_test(rows: DataFrame, key: str, ident: str, value: Column, replicates: int = 20) -> DataFrame:
+def permutation_test(rows: DataFrame, key: str, ident: str, value: Column, replicates: int = 1000) -> DataFrame:
     """Per key: mean of ``value``, its mean and deviation when values are dealt out anew, ``z`` and ``p`` (at least as large).
 
     A replicate orders all rows by a hash of (row, replicate) and gives the i-th value to the i-th row, so it
-    is repeatable anywhere. Ranks are distributed; what is aggregated per replicate is one row a key.
+    is repeatable anywhere; the least ``p`` is 1 / (``replicates`` + 1). Ranks are distributed; what is aggregated per replicate is one row a key.
     """
     scratch = Scratch(rows.sparkSession, "permutation")
     base = scratch.save(rows.select(F.col(key).alias("k"), F.col(ident).cast("string").alias("i"), value.cast("double").alias("v")).where("k is not null and v is not null"))
     each = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    slots = ranked(each.select("rep", "k", "i"), ["rep"], [F.col("i")]).select("rep", "rank", "k")
+    slots = ranked(base.select("k", "i"), [], [F.col("i")]).select("rank", "k")
     dealt = ranked(each.select("rep", "i", "v"), ["rep"], [F.xxhash64("i", "rep"), F.col("i")]).select("rep", "rank", "v")
-    null = slots.join(dealt, ["rep", "rank"]).groupBy("rep", "k").agg(F.avg("v").alias("m"))
+    null = slots.join(dealt, "rank").groupBy("rep", "k").agg(F.avg("v").alias("m"))
     seen = base.groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("observed"))
     joined = null.join(seen, "k").groupBy("k").agg(
         F.first("n").alias("n"), F.first("observed").alias("observed"), F.avg("m").alias("expected"), F.stddev_pop("m").alias("sd"), F.count_if(F.col("m") >= F.col("observed")).alias("above"))

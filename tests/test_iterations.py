@@ -36,3 +36,10 @@ def test_walks_have_the_reference_size(spark):
     walks = G.random_walks(spark.createDataFrame([("a", "b"), ("b", "c")], "u string, v string"))
     assert [tuple(r) for r in walks.groupBy(F.col("nodes")[0], F.size("nodes")).count().orderBy("nodes[0]").collect()] == [(x, 30, 200) for x in "abc"]
     assert {len(r["vector"]) for r in G.node_vectors(walks).collect()} == {64}
+
+
+def test_permutation_test_can_reach_small_p(spark):
+    rows = spark.createDataFrame([("high" if i < 20 else "low", i, float(i < 20) * 100 + i % 7) for i in range(80)], "k string, i long, v double")
+    got = {r["k"]: r for r in M.permutation_test(rows, "k", "i", F.col("v")).collect()}
+    assert got["high"]["p"] == round(1 / 1001, 6) and got["low"]["p"] == 1.0 and got["high"]["z"] > 5
+    assert abs(got["high"]["expected"] - 28) < 2
