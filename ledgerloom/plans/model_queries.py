@@ -35,7 +35,7 @@ def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brier_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.recent_brier(_labels(spark, sf_dir), "domain", "created_at", "id", last=300)
+    return M.recent_brier(_labels(spark, sf_dir), "domain", "created_at", "id")
 
 
 def forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,12 @@ def test_scaling_imputes_the_median(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0), (4, 8.0)], "k long, x double")
     got = {r["k"]: (r["x_wins"], r["x_missing"]) for r in scaled(rows, "k", ["x"]).collect()}
     assert got == {1: (1.0, 0), 2: (3.0, 1), 3: (3.0, 0), 4: (8.0, 0)}
+
+
+def test_brier_tracker_takes_a_thousand(spark, tmp_path):
+    # The newest 1000 of 1200 are rated; of these the newest 300 agree, the 700 before don't.
+    rows = [(i, "d", "m", "a", "a" if i >= 900 else "b", "a", 1.0, 1.0, datetime(2024, 1, 1) + timedelta(hours=i), 1) for i in range(1200)]
+    spark.createDataFrame(
+        rows, "label_id long, label_domain string, source_model string, proposed_label string, human_label string, second_label string, model_confidence double, human_confidence double, created_at timestamp_ntz, label_version int"
+    ).write.parquet(f"{tmp_path}/labels.parquet")
+    assert [tuple(r) for r in QUERIES["brier_tracker"](spark, str(tmp_path)).collect()] == [("d", 1000, 0.7)]
