@@ -98,25 +98,18 @@ _UP = """
     anc AS (SELECT node, ancestor, min(distance) AS distance FROM (SELECT *, 1 AS distance FROM up UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE node <> ancestor GROUP BY ALL)"""
 
 
-def _pagerank_sql(rounds: int) -> str:
-    steps = "".join(
-        f""",
-    r{i} AS MATERIALIZED (SELECT n.node, n.outs, 0.15 / c.n + 0.85 * coalesce((SELECT sum(rank) FROM r{i - 1} WHERE outs IS NULL), 0) / c.n + 0.85 * coalesce(g.got, 0) AS rank
-      FROM nodes n CROSS JOIN c LEFT JOIN (SELECT l.dst, sum(r.rank / r.outs) AS got FROM links l JOIN r{i - 1} r ON r.node = l.src GROUP BY l.dst) g ON g.dst = n.node)"""
-        for i in range(1, rounds + 1)
-    )
-    return f"""WITH {FUNDING},
-    links AS (SELECT DISTINCT src, dst FROM funding), outs AS (SELECT src, count(*) AS outs FROM links GROUP BY src),
-    nodes AS MATERIALIZED (SELECT node, outs FROM (SELECT src AS node FROM links UNION SELECT dst FROM links) LEFT JOIN outs ON outs.src = node),
-    c AS (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT node, outs, 1.0 / c.n AS rank FROM nodes, c){steps}
-    SELECT node, round(rank, 8) AS rank FROM r{rounds}"""
-
-
 SQL = {
     "funding_degrees": f"""WITH {FUNDING}, e AS (SELECT DISTINCT src, dst FROM funding)
     SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node""",
     "funding_components": f"""WITH RECURSIVE {FUNDING}, e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM funding WHERE src <> dst), {_CLOSE} SELECT * FROM comp""",
-    "funding_pagerank": _pagerank_sql(12),
+    # Every wallet has one funder, so its rank is a sum over its chain of funders; 0.85 ** 200 ends a circle.
+    "funding_pagerank": f"""WITH RECURSIVE {FUNDING},
+    links AS MATERIALIZED (SELECT DISTINCT src, dst FROM funding), outs AS (SELECT src, 0.85 / count(*) AS part FROM links GROUP BY src),
+    up AS MATERIALIZED (SELECT dst, src, part FROM links JOIN outs USING (src)),
+    walk AS (SELECT node, node AS at, 1.0::DOUBLE AS w, 0 AS k FROM (SELECT src AS node FROM links UNION SELECT dst FROM links)
+      UNION ALL SELECT w.node, u.src, w.w * u.part, w.k + 1 FROM walk w JOIN up u ON u.dst = w.at WHERE w.k < 200),
+    x AS (SELECT node, sum(w) AS x FROM walk GROUP BY node)
+    SELECT node, round(x / (SELECT sum(x) FROM x), 8) AS rank FROM x""",
     "funding_ancestors": f"WITH {FUNDING}, {_UP} SELECT * FROM anc",
     "shared_funders": f"WITH {FUNDING}, {_UP} SELECT ancestor, count(*) AS wallets, round(avg(distance), 6) AS mean_distance FROM anc GROUP BY ancestor HAVING count(*) >= 2",
     "funder_timing": f"""WITH {FUNDING},

@@ -71,20 +71,14 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _eigenvector_sql(rounds: int) -> str:
-    steps = "".join(
-        f""",
-    w{i} AS MATERIALIZED (SELECT node, sum(x) AS x FROM (SELECT l.u AS node, r.x FROM linked l JOIN r{i - 1} r ON r.node = l.v UNION ALL SELECT node, x FROM r{i - 1}) GROUP BY node),
-    r{i} AS MATERIALIZED (SELECT node, x / (SELECT sqrt(sum(x * x)) FROM w{i}) AS x FROM w{i})"""
-        for i in range(1, rounds + 1)
-    )
-    return f"""WITH e AS (SELECT DISTINCT least(wallet1, wallet2) AS u, greatest(wallet1, wallet2) AS v FROM wallet_similarities WHERE is_coordinated AND wallet1 <> wallet2),
-    linked AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), r0 AS MATERIALIZED (SELECT DISTINCT u AS node, 1.0::DOUBLE AS x FROM linked){steps}
-    SELECT node, round(x, 6) AS centrality FROM r{rounds}"""
-
-
 SQL = {
-    "pair_eigenvector": _eigenvector_sql(15),
+    # A thousand steps of the power method in one recursion, scaled by a constant, so that nothing over- or underflows.
+    "pair_eigenvector": """WITH RECURSIVE e AS (SELECT DISTINCT least(wallet1, wallet2) AS u, greatest(wallet1, wallet2) AS v FROM wallet_similarities WHERE is_coordinated AND wallet1 <> wallet2),
+    linked AS (SELECT u, v FROM e UNION SELECT v, u FROM e), looped AS MATERIALIZED (SELECT u, v FROM linked UNION SELECT u, u FROM linked),
+    scale AS MATERIALIZED (SELECT max(d) AS top FROM (SELECT sqrt(count(*)) + 1.0 AS d FROM linked GROUP BY u)),
+    r AS (SELECT 0 AS i, u AS node, 1.0::DOUBLE AS x FROM (SELECT DISTINCT u FROM linked)
+      UNION ALL SELECT r.i + 1, l.u, sum(r.x) / any_value(top) FROM r JOIN looped l ON l.v = r.node CROSS JOIN scale WHERE r.i < 1000 GROUP BY r.i, l.u)
+    SELECT node, round(x / (SELECT sqrt(sum(x * x)) FROM r WHERE i = 1000), 6) AS centrality FROM r WHERE i = 1000""",
     "synchronised_wallets": f"""WITH RECURSIVE {TRADES},
     g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 900 SECOND, true)::INT AS opens FROM trades WINDOW w AS (PARTITION BY mint ORDER BY ts, signature)),
     s AS (SELECT DISTINCT wallet, mint, sum(opens) OVER (PARTITION BY mint ORDER BY ts, signature) AS no FROM g),
@@ -93,7 +87,7 @@ SQL = {
     reach AS (SELECT DISTINCT u AS node, u AS other FROM linked UNION SELECT r.node, l.v FROM reach r JOIN linked l ON l.u = r.other)
     SELECT node AS wallet, min(other) AS "group" FROM reach GROUP BY node""",
     "brier_tracker": f"""WITH {_LABELS}, r AS (SELECT domain, p, y FROM l WHERE p IS NOT NULL AND y IS NOT NULL
-      QUALIFY row_number() OVER (PARTITION BY domain ORDER BY created_at DESC NULLS LAST, id DESC NULLS LAST, p DESC, y DESC) <= 300)
+      QUALIFY row_number() OVER (PARTITION BY domain ORDER BY created_at DESC NULLS LAST, id DESC NULLS LAST, p DESC, y DESC) <= 1000)
     SELECT domain, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier FROM r GROUP BY domain""",
     "forward_folds": """WITH s AS (SELECT epoch_us(ts) / 1000000.0 AS s FROM events WHERE ts IS NOT NULL), r AS (SELECT min(s) AS a, max(s) AS b FROM s), f AS (SELECT unnest([1, 2, 3, 4, 5]) AS fold)
     SELECT CAST(fold AS INT) AS fold, count(*) FILTER (WHERE s < a + (b - a) * fold / 6 - 86400) AS train, count(*) FILTER (WHERE least(floor((s - a) * 6 / (b - a)), 5) = fold) AS test FROM s, r, f GROUP BY fold""",

@@ -179,7 +179,7 @@ SQL = {
     FROM b FULL JOIN a ON a.wallet = b.wallet AND a.mint = b.mint) WHERE change IS NOT NULL""",
     "third_page": "SELECT id, mint, lower(trim(symbol)) AS symbol FROM tokens ORDER BY id LIMIT 10 OFFSET 20",
     "token_names": "SELECT id, coalesce(token_name, symbol, substr(mint, 1, 8)) AS name, CAST(CASE WHEN token_name IS NOT NULL THEN 1 WHEN symbol IS NOT NULL THEN 2 ELSE 3 END AS INT) AS source FROM tokens",
-    "feature_scaling": """WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS bal FROM supplier),
+    "feature_scaling": """WITH s AS (SELECT s_suppkey, s_acctbal AS bal FROM supplier),
     q AS (SELECT quantile_cont(bal, 0.25) AS lo, quantile_cont(bal, 0.5) AS mid, quantile_cont(bal, 0.75) AS hi FROM s),
     f AS (SELECT s_suppkey, coalesce(bal, mid) AS x, (bal IS NULL)::INT AS missing, lo, mid, hi FROM s, q), m AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM f)
     SELECT s_suppkey, round((x - mu) / sd, 5) AS bal_std, round((x - mid) / (hi - lo), 5) AS bal_robust, round(least(greatest(x, lo - 1.5 * (hi - lo)), hi + 1.5 * (hi - lo)), 5) AS bal_wins, missing AS bal_missing FROM f, m""",

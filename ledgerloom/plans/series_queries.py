@@ -88,7 +88,7 @@ def balance_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly annualised volatility of daily mean unit prices per supplier (``grp``), and its percentile among the supplier's months.
 
-    A month needs two returns; a supplier's days are few, so the SQL's ten would drop nine months in ten.
+    A month needs two returns, as a supplier's days are few.
     """
     line = table(spark, sf_dir, "lineitem")
     prices = line.where("l_quantity > 0").groupBy(F.col("l_suppkey").alias("grp"), F.col("l_shipdate").cast("date").alias("day")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
@@ -177,8 +177,8 @@ SQL = {
     p AS (SELECT mint, round(sum(net), 2) AS position_0, round(sum(CASE WHEN day <= last - 7 THEN net ELSE 0 END), 2) AS position_7, round(sum(CASE WHEN day <= last - 30 THEN net ELSE 0 END), 2) AS position_30 FROM days, e GROUP BY mint)
     SELECT mint, position_0, round(CASE WHEN position_7 <> 0 THEN (position_0 - position_7) / position_7 WHEN position_0 > 0 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS delta_7,
            round(CASE WHEN position_30 <> 0 THEN (position_0 - position_30) / position_30 WHEN position_0 > 0 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS delta_30 FROM p""",
-    "price_regimes": """WITH prices AS (SELECT l_suppkey % 10 AS grp, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
+    "price_regimes": """WITH prices AS (SELECT l_suppkey AS grp, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
     r AS (SELECT grp, day, price / lag(price) OVER (PARTITION BY grp ORDER BY day) - 1 AS r FROM prices),
-    m AS (SELECT grp, strftime(day, '%Y-%m') AS month, round(stddev_pop(r) * sqrt(252.0), 6) AS volatility FROM r WHERE r IS NOT NULL GROUP BY ALL HAVING count(*) >= 10)
+    m AS (SELECT grp, strftime(day, '%Y-%m') AS month, round(stddev_pop(r) * sqrt(252.0), 6) AS volatility FROM r WHERE r IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
     SELECT grp, month, volatility, round((rank() OVER (PARTITION BY grp ORDER BY volatility) - 1 + count(*) OVER (PARTITION BY grp ORDER BY volatility RANGE UNBOUNDED PRECEDING) + 1) * 50.0 / count(*) OVER (PARTITION BY grp), 4) AS percentile FROM m""",
 }
