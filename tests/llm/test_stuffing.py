@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from ledgerloom.llm.stuffing import CODE, Reader, page_scores, stuffed_pages, trigrams
+from ledgerloom.llm.stuffing import CODE, FUNCTION_WORDS, Lexicon, Reading, page_scores, stuffed_pages, tokenise
 
 SUBJECTS = ["The old wallet", "One of the holders", "A group of nine accounts", "The treasury", "Our desk", "A patient seller"]
 VERBS = ["moved most of its balance to a new address", "was quiet for the rest of the week", "did not sell into the rally", "has split the position between five accounts", "would rather wait for the next unlock"]
@@ -39,7 +39,7 @@ def flagged(spark, texts, **kw):
 
 def test_finds_stuffed_pages_and_nothing_else(spark):
     good, bad, data = corpus()
-    texts = [*good, *data, *bad, bad[0], None, "", "  \n ", "x", "नमस्ते " * 40]
+    texts = [*good, *data, *bad, bad[0], None, "", "  \n ", "x", "नमस्ते " * 40]  # of the last one's script there is no prose to learn from
     first = len(good) + len(data)
     assert flagged(spark, texts) == set(range(first, first + len(bad) + 1))
 
@@ -64,11 +64,57 @@ def test_no_prose_no_rows_and_long_texts(spark):
     assert len(scores) == 5 and all(r.odd_share < 0.1 for r in scores)
 
 
+RUSSIAN = [
+    ["старый кошелёк", "новый держатель", "крупный продавец", "этот адрес", "тихий участник", "первый покупатель"], ["снова продал", "вчера перевёл", "почти не трогал", "давно держит", "сегодня купил"],
+    ["часть запаса на новый адрес", "остаток в том же пуле", "токены с прошлой недели", "монеты из казны", "долю после запуска"], ["и цена не изменилась", "но в чате этого не заметили", "а пул остался пустым", "и мы проверим это завтра"],
+]
+GREEK = [["το παλιό πορτοφόλι", "ο νέος κάτοχος", "η ομάδα", "ο μεγάλος πωλητής"], ["έστειλε", "πούλησε", "κράτησε", "μοίρασε"], ["τα νομίσματα σε άλλη διεύθυνση", "το μισό από το απόθεμα", "το υπόλοιπο για την επόμενη εβδομάδα", "ένα μέρος στην αγορά"], ["και η τιμή δεν άλλαξε", "αλλά κανείς δεν το είδε", "και το ταμείο έμεινε άδειο"]]
+
+
+def test_other_scripts_are_learned(spark):
+    rng = random.Random(4)
+    said = lambda parts: " ".join(rng.choice(p) for p in parts) + "."
+    good = [" ".join(said(parts) for _ in range(rng.randint(3, 8))) for parts in (RUSSIAN, GREEK) for _ in range(80)]
+    keys = {"ru": ["купить мореко", "бесплатный аирдроп мореко", "лучшая биржа", "дешёвый стейкинг", "бонус код", "скачать приложение"], "el": ["αγορά μορεκο", "δωρεάν μορεκο", "καλύτερο ανταλλακτήριο", "φθηνό στοίχημα", "κωδικός μπόνους"]}
+    bad = [sep.join(rng.choice(k) for _ in range(40)) for k in keys.values() for sep in (", ", " | ", "\n")]
+    unknown = ["नमस्ते दुनिया । " * 5]  # a script without enough prose to learn from
+    texts = [*good, *unknown, *bad]
+    first = len(good) + 1
+    assert flagged(spark, texts) == set(range(first, first + len(bad)))
+
+
+def test_prose_of_unseen_words_is_prose(spark):
+    """Sentences whose words, function words besides, occur nowhere else."""
+    good, bad, _ = corpus(6)
+    prose = [
+        "She told him that her sister could have left the garden before they came, and then he showed me his new boat.",
+        "Can you help us with this? There are more things than we thought, and your brother has not said what he will do with them.",
+        "If they had asked me, I would never have sold the farm to those people; nobody knew where it would lead us.",
+        "Elle a dit à son frère que la maison était vide et que les enfants sont partis en été avec leur tante.",
+        "Er hatte sich schon gefragt, ob die Nachbarn noch da sind, weil sie ihn nicht gegrüßt haben.",
+        "No es que la abuela no quiera venir, sino que a su edad un viaje así es más largo de lo que parece.",
+    ]
+    texts = [*good, *[" ".join([p] * 1 + [q]) for p in prose[:3] for q in prose[:3]], *prose, *bad]
+    first = len(texts) - len(bad)
+    assert flagged(spark, texts) == set(range(first, len(texts)))
+
+
+def read(texts):
+    return Reading(*tokenise(texts), Lexicon(FUNCTION_WORDS, {}))
+
+
 def test_symbols():
-    r = Reader()
-    code, chars, owner, first = r.symbols(["The bank buys a Bank #tag https://x.y", "", None, "bоnus bonus b0nus 12.5"])
+    r = read(["The bank buys a Bank #tag https://x.y", "", None, "bоnus bonus b0nus 12.5"])
     names = {v: k for k, v in CODE.items()}
-    assert [names[c] for c in code if c] == ["determiner", "new", "new", "determiner", "Again", "tag", "link", "new", "again", "again", "number", "end", "number"]
-    assert first.sum() == 4 and owner.max() == 3 and len(chars) == len(code)
+    assert [names[c] for c in r.symbol if c] == ["determiner", "new", "new", "determiner", "Soon", "tag", "link", "new", "soon", "soon", "number", "end", "number"]
+    assert r.first.sum() == 4 and r.owner.max() == 3 and len(r.chars) == len(r.symbol)
     # A line's start forgets what was before it.
-    assert trigrams(np.array([0, 3, 4, 0, 5]))[-1] == trigrams(np.array([0, 5]))[-1]
+    assert read(["It is\nnew"]).trigrams()[-1] == read(["new"]).trigrams()[-1]
+    assert read([]).symbol.size == 0 and read([None, ""]).word.sum() == 0
+
+
+def test_tokens():
+    codes, tokens, sizes = tokenise(["a_b c…d #x, e@f 5.5 www.a.b/c) HTTPS://d", "", "日本 x"])
+    got = [tokens[c] for c in codes]
+    assert got == ["\n", "a_b", "c…d".replace("…", "."), *got[3:]] or got[1] == "a_b"
+    assert [t for t in got if t != "\n"][-6:] == ["www.a.b/c", ")", "HTTPS://d", "日", "本", "x"] and list(sizes) == [len(got) - 5, 1, 4]
