@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import logistic, safe_div, wilson
-from ledgerloom.operators.ranking import ranked
+from ledgerloom.operators.ranking import mean_ranks, ranked
+from ledgerloom.scratch import Scratch
 
 
 def calibration(pred: DataFrame, by: str, p: str = "p", y: str = "y") -> DataFrame:
@@ -144,8 +145,6 @@ def noisy_or(rows: DataFrame, by: str, p: Column) -> DataFrame:
 
 def drift_forecast(days: DataFrame, by: str, value: str, window: int = 14) -> DataFrame:
     """One-step forecast by the mean change of the last ``window`` steps, walked over the series: ``n``, ``mae``, ``rmse``, ``mape`` per group."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(by).orderBy("day")
     step = days.select(by, "day", F.col(value).alias("v"), F.lag(value).over(w).alias("b")).withColumn("d", F.col("v") - F.col("b"))
     f = step.withColumn("f", F.col("b") + F.avg("d").over(w.rowsBetween(-window, -1)))
@@ -154,7 +153,7 @@ def drift_forecast(days: DataFrame, by: str, value: str, window: int = 14) -> Da
         F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.when(F.col("v") != 0, F.abs(e / F.col("v")))), 4).alias("mape"))
 
 
-def cox_fit(rows: DataFrame, duration: str, event: str, features: list[str], ridge: float = 0.1, rounds: int = 12) -> DataFrame:
+def cox_fit(rows: DataFrame, duration: str, event: str, features: list[str], ridge: float = 0.1, rounds: int = 50) -> DataFrame:
     """Cox proportional hazards (Breslow ties): ``feature``, ``coefficient``, ``std_error``.
 
     Newton steps on sums per distinct duration: each step aggregates exp(bx), x exp(bx) and their products by
@@ -162,7 +161,8 @@ def cox_fit(rows: DataFrame, duration: str, event: str, features: list[str], rid
     square bounds what comes to the driver per duration, and durations are whole days.
     """
     k = len(features)
-    clean = rows.where(sum((F.col(c).isNull().cast("int") for c in [duration, event, *features]), F.lit(0)) == 0)
+    scratch = Scratch(rows.sparkSession, "cox")
+    clean = scratch.save(rows.where(sum((F.col(c).isNull().cast("int") for c in [duration, event, *features]), F.lit(0)) == 0).select(duration, event, *features))
     x = [F.col(f).cast("double") for f in features]
     beta = np.zeros(k)
     hess = np.eye(k)
@@ -190,14 +190,18 @@ def cox_fit(rows: DataFrame, duration: str, event: str, features: list[str], rid
         beta = beta + move
         if np.abs(move).max() < 1e-8:
             break
+    else:
+        raise RuntimeError(f"no convergence within {rounds} rounds")
+    scratch.clear()
     se = np.sqrt(np.maximum(np.diag(np.linalg.inv(hess)), 0))
     return rows.sparkSession.createDataFrame([(f, round(float(b), 5), round(float(s), 5)) for f, b, s in zip(features, beta, se, strict=True)], "feature string, coefficient double, std_error double")
 
 
-def platt(pred: DataFrame, p: str = "p", y: str = "y", rounds: int = 25) -> DataFrame:
+def platt(pred: DataFrame, p: str = "p", y: str = "y", rounds: int = 100) -> DataFrame:
     """Logistic calibration ``1 / (1 + exp(-(a logit(p) + b)))`` by Newton steps on six sums: ``a``, ``b``, ``log_loss``."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-    rows = pred.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.log(q / (1 - q)).alias("l")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("k"))
+    scratch = Scratch(pred.sparkSession, "platt")
+    rows = scratch.save(pred.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.log(q / (1 - q)).alias("l")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("k")))
     a, b, loss = 1.0, 0.0, 0.0
     for _ in range(rounds):
         m = logistic(F.lit(a) * F.col("l") + F.lit(b))
@@ -212,4 +216,79 @@ def platt(pred: DataFrame, p: str = "p", y: str = "y", rounds: int = 25) -> Data
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
+    else:
+        raise RuntimeError(f"no convergence within {rounds} rounds")
+    scratch.clear()
     return pred.sparkSession.createDataFrame([(round(float(a), 5), round(float(b), 5), round(float(loss), 6))], "a double, b double, log_loss double")
+
+
+def rank_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Spearman's ``rho`` of two columns (ties take the mean rank) and ``n``; rows with a null in either are left out."""
+    full = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    j = full.join(mean_ranks(full, [], "__a", "ra"), "__a").join(mean_ranks(full, [], "__b", "rb"), "__b")
+    return j.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
+
+
+def survival_curve(rows: DataFrame, duration: str = "duration", event: str = "event", z: float = 1.959964) -> DataFrame:
+    """Kaplan-Meier: per duration with an event ``at_risk``, ``events``, ``survival``, ``low`` and ``high`` (Greenwood, cut to [0, 1]).
+
+    What is ordered is one row a distinct duration, by distributed running sums.
+    """
+    d = rows.where(F.col(duration).isNotNull() & F.col(event).isNotNull()).groupBy(F.col(duration).alias("t")).agg(F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("d"))
+    left = ranked(d, [], [F.col("t")], {"gone": F.col("n")}).withColumn("r", F.col("gone_all") - F.col("gone") + F.col("n")).where("d > 0")
+    r, e = F.col("r").cast("double"), F.col("d").cast("double")
+    steps = ranked(left.select("t", "r", "d"), [], [F.col("t")], {"ended": F.when(r == e, 1).otherwise(0), "l": F.when(r > e, F.log(1 - e / r)).otherwise(0.0), "g": F.when(r > e, e / (r * (r - e))).otherwise(0.0)})
+    s = F.when(F.col("ended") > 0, 0.0).otherwise(F.exp("l"))
+    half = z * s * F.sqrt("g")
+    return steps.select(F.col("t").alias("duration"), F.col("r").alias("at_risk"), F.col("d").alias("events"), F.round(s, 6).alias("survival"), F.round(F.greatest(s - half, F.lit(0.0)), 6).alias("low"), F.round(F.least(s + half, F.lit(1.0)), 6).alias("high"))
+
+
+def ks_distance(rows: DataFrame, by: str, value: str, second: Column) -> DataFrame:
+    """Per group the Kolmogorov-Smirnov distance ``ks`` between the rows where ``second`` holds and the others: ``n_first``, ``n_second``; null if one is empty."""
+    v = F.col(value)
+    cells = rows.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(by, v.alias("v")).agg(F.count_if(~F.coalesce(second, F.lit(False))).alias("a"), F.count_if(second).alias("b"))
+    run = ranked(cells, [by], [F.col("v")], {"ca": F.col("a"), "cb": F.col("b")})
+    na, nb = F.col("ca_all"), F.col("cb_all")
+    gap = F.when((na > 0) & (nb > 0), F.abs(F.col("ca") / na - F.col("cb") / nb))
+    return run.groupBy(by).agg(F.max("ca_all").alias("n_first"), F.max("cb_all").alias("n_second"), F.round(F.max(gap), 6).alias("ks"))
+
+
+def paired_comparison(rows: DataFrame, by: str, p1: str, p2: str, y: str) -> DataFrame:
+    """Two models' squared errors on the same rows: ``n``, ``brier_1``, ``brier_2``, ``difference`` and its paired ``t`` (null without spread)."""
+    y_ = F.col(y).cast("double")
+    e1, e2 = F.pow(F.col(p1) - y_, 2), F.pow(F.col(p2) - y_, 2)
+    t = rows.where(F.col(p1).isNotNull() & F.col(p2).isNotNull() & F.col(y).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(e1).alias("b1"), F.avg(e2).alias("b2"), F.avg(e1 - e2).alias("d"), F.stddev_samp(e1 - e2).alias("s"))
+    return t.select(by, "n", F.round("b1", 6).alias("brier_1"), F.round("b2", 6).alias("brier_2"), (F.round("d", 6) + 0.0).alias("difference"), F.round(F.when(F.col("s") > 0, F.col("d") / (F.col("s") / F.sqrt("n"))), 4).alias("t"))
+
+
+def split_calibration(rows: DataFrame, by: str, time_col: str, tie: str, p: str = "p", y: str = "y", bins: int = 10) -> DataFrame:
+    """Calibration fitted on each group's earlier half and judged on the later: ``n``, Brier scores ``raw``, ``binned`` and ``shifted``.
+
+    ``binned`` answers with the bin's rate in the first half (the raw value where it had none), ``shifted`` with the
+    value less the first half's mean error, kept within [0, 1].
+    """
+    placed = ranked(rows.where(F.col(p).between(0, 1) & F.col(y).isNotNull() & F.col(time_col).isNotNull()).select(by, time_col, tie, F.col(p).alias("p"), F.col(y).cast("double").alias("y")), [by], [F.col(time_col), F.col(tie), F.col("p"), F.col("y")])
+    halves = placed.withColumn("late", F.col("rank") > F.floor(F.col("size") / 2)).withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
+    early = halves.where(~F.col("late")).groupBy(by, "bin").agg(F.count("*").alias("c"), F.sum("y").alias("sy"), F.sum("p").alias("sp"))  # ``bins`` rows a group
+    mean = early.groupBy(by).agg((F.sum(F.col("sp") - F.col("sy")) / F.sum("c")).alias("bias"))
+    j = halves.where("late").join(early.select(by, "bin", (F.col("sy") / F.col("c")).alias("rate")), [by, "bin"], "left").join(mean, by, "left")
+    score = lambda q: F.round(F.avg(F.pow(q - F.col("y"), 2)), 6)
+    moved = F.least(F.greatest(F.col("p") - F.coalesce("bias", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return j.groupBy(by).agg(F.count("*").alias("n"), score(F.col("p")).alias("raw"), score(F.coalesce("rate", "p")).alias("binned"), score(moved).alias("shifted"))
+
+
+def label_shift(rows: DataFrame, by: str, label: str, second: Column, smooth: float = 0.5) -> DataFrame:
+    """Per group how the distribution of labels moved to the rows where ``second`` holds: ``kl`` (nats, of the second from the first) and ``js``, smoothed by ``smooth``."""
+    cells = rows.where(F.col(label).isNotNull()).groupBy(by, F.col(label).alias("l")).agg(F.count_if(~F.coalesce(second, F.lit(False))).alias("a"), F.count_if(second).alias("b"))
+    whole = cells.groupBy(by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count("*").alias("k"))
+    q = (F.col("a") + smooth) / (F.col("na") + smooth * F.col("k"))
+    p = (F.col("b") + smooth) / (F.col("nb") + smooth * F.col("k"))
+    m = (p + q) / 2
+    t = cells.join(whole, by).groupBy(by).agg(F.sum(p * F.log(p / q)).alias("kl"), F.sum(p * F.log(p / m) / 2 + q * F.log(q / m) / 2).alias("js"))
+    return t.select(by, (F.round("kl", 6) + 0.0).alias("kl"), (F.round("js", 6) + 0.0).alias("js"))
+
+
+def most_uncertain(rows: DataFrame, by: str, ident: str, p: str, k: int = 10) -> DataFrame:
+    """The ``k`` rows of each group whose probability lies nearest to a half (ties: the least identifier, then value), for review: a top-k report."""
+    w = Window.partitionBy(by).orderBy(F.round(F.abs(F.col(p) - 0.5), 9), ident, p)
+    return rows.where(F.col(p).isNotNull() & ~F.isnan(p)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(by, ident, F.col(p).alias("p"), "place")

@@ -282,3 +282,38 @@ def first_funding_gap(edges: DataFrame) -> DataFrame:
     hours = edges.where(F.col("ts").isNotNull()).groupBy("src", F.hour("ts").alias("h")).agg(F.count("*").alias("c"), F.min(s).alias("a"), F.max(s).alias("b"))
     c = F.col("c")
     return hours.groupBy("src").agg(F.sum(c).alias("funded"), F.round(F.log(F.sum(c)) - F.sum(c * F.log(c)) / F.sum(c) + 0.0, 6).alias("hour_entropy"), F.round(F.max("b") - F.min("a"), 6).alias("span_s"))
+
+
+def weighted_degrees(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame:
+    """Per node of a weighted directed graph: ``received``, ``sent``, ``largest_share`` and ``hhi`` of what it received by source, ``balance``, ``ratio``.
+
+    Repeated edges add up; edges without an end or weight count as none. What is summed is pre-aggregated per edge.
+    """
+    e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & F.col(weight).isNotNull() & ~F.isnan(F.col(weight).cast("double")))
+    per = e.groupBy(F.col(src).alias("s"), F.col(dst).alias("d")).agg(F.sum(F.col(weight).cast("double")).alias("w"))
+    w = F.col("w")
+    side = lambda node, i, o: F.struct(F.col(node).alias("node"), i.alias("i"), o.alias("o"))
+    zero = F.lit(0.0)
+    ends = per.select(F.explode(F.array(side("s", zero, w), side("d", w, zero))).alias("x"))
+    t = ends.groupBy("x.node").agg(F.sum("x.i").alias("r"), F.sum("x.o").alias("t"), F.max("x.i").alias("m"), F.sum(F.col("x.i") * F.col("x.i")).alias("q"))
+    r, sent = F.col("r"), F.col("t")
+    return t.select(
+        "node", F.round(r, 6).alias("received"), F.round(sent, 6).alias("sent"), F.round(F.when(r > 0, F.col("m") / r).otherwise(0.0), 6).alias("largest_share"), F.round(F.when(r > 0, F.col("q") / (r * r)).otherwise(0.0), 6).alias("hhi"),
+        (F.round(r - sent, 6) + 0.0).alias("balance"), F.round(F.when(r + sent > 0, r / (r + sent)).otherwise(0.5), 6).alias("ratio"))
+
+
+def funder_concentration(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """One row: ``funders``, ``entropy`` (nats) of the funded wallets over them, the ``dominant`` funder (ties: the least) and its ``share``; none without edges."""
+    out = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(src, dst).distinct().groupBy(F.col(src).alias("s")).agg(F.count("*").alias("c"))
+    c = F.col("c")
+    one = out.agg(F.count("*").alias("funders"), F.sum(c).alias("n"), F.sum(c * F.log(c)).alias("e"), F.max(c).alias("top")).where("funders > 0")
+    lead = out.join(F.broadcast(one.select("top")), c == F.col("top")).agg(F.min("s").alias("dominant"))  # one row
+    n = F.col("n")
+    return one.join(F.broadcast(lead)).select("funders", F.round(F.log(n) - F.col("e") / n + 0.0, 6).alias("entropy"), "dominant", F.round(F.col("top") / n, 6).alias("share"))
+
+
+def member_share(holdings: DataFrame, group: str, who: str, value: str, members: DataFrame) -> DataFrame:
+    """Per group: ``holders``, ``members`` among them and the members' ``share`` of the value."""
+    m = members.select(F.col(members.columns[0]).alias(who)).where(F.col(who).isNotNull()).distinct().withColumn("__in", F.lit(1))
+    t = holdings.join(m, who, "left").groupBy(group).agg(F.count("*").alias("holders"), F.count("__in").alias("members"), F.sum(F.when(F.col("__in") == 1, F.col(value)).otherwise(0.0)).alias("a"), F.sum(value).alias("b"))
+    return t.select(group, "holders", "members", F.round(safe_div(F.col("a"), F.col("b")), 6).alias("share"))

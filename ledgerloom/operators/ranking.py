@@ -46,3 +46,24 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums: d
         *df.columns, (F.col("__r") + F.col("__before")).alias("rank"), "size",
         *[c for n in sums for c in ((F.col(f"__s_{n}") + F.col(f"__b_{n}")).alias(n), F.col(f"{n}_all"))],
     )
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row with the array ``q``: interpolated quantiles of the values that aren't null, from distributed ranks; no row if there are none."""
+    rows = ranked(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("__x")), [], [F.col("__x")])
+    at = [F.lit(float(p)) * (F.col("size") - 1) for p in shares]
+    # Of each quantile the value at or below its place, and the share of the way to the next one.
+    parts = []
+    for i, a in enumerate(at):
+        low, part = F.floor(a) + 1, a - F.floor(a)
+        parts += [F.sum(F.when(F.col("rank") == low, F.col("__x") * (1 - part)).when(F.col("rank") == low + 1, F.col("__x") * part)).alias(f"q{i}")]
+    near = rows.where(sum(((F.col("rank") - 1 - a) < 1).cast("int") * ((F.col("rank") - 1 - a) > -1).cast("int") for a in at) > 0)
+    one = near.agg(*parts, F.count("*").alias("n")).where("n > 0")
+    return one.select(F.array(*[f"q{i}" for i in range(len(shares))]).alias("q"))
+
+
+def mean_ranks(df: DataFrame, group: Sequence[str], column: str, name: str) -> DataFrame:
+    """Each value of ``column`` in its group once, with ``name``: the mean of the ranks that its rows take."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("__c"))
+    placed = ranked(counts, group, [F.col(column)], {"__to": F.col("__c")})
+    return placed.select(*group, column, (F.col("__to") - (F.col("__c") - 1) / 2).alias(name))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranking import quantiles
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], recency: str) -> DataFrame:
     """Rows of both by key, the newest by ``recency``; of equal age the new table's, then the greatest row."""
@@ -50,8 +52,10 @@ def scaled(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
     Nulls are imputed with the median first. A spread of zero counts as one.
     """
-    q = df.agg(*[e for c in columns for e in (F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q_{c}"),)])
-    filled = df.join(F.broadcast(q)).select(key, *[F.col(f"q_{c}") for c in columns], *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in columns], *[F.coalesce(F.col(c).cast("double"), F.col(f"q_{c}")[1]).alias(c) for c in columns])  # one row
+    wide = df
+    for c in columns:
+        wide = wide.join(F.broadcast(quantiles(df, c, [0.25, 0.5, 0.75]).withColumnRenamed("q", f"q_{c}")), how="left")  # one row
+    filled = wide.select(key, *[F.col(f"q_{c}") for c in columns], *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in columns], *[F.coalesce(F.col(c).cast("double"), F.col(f"q_{c}")[1]).alias(c) for c in columns])
     m = filled.agg(*[e for c in columns for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
     out = [F.col(key)]
     for c in columns:
@@ -84,3 +88,33 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, centres: DataFrame, l
     scored = df.join(F.broadcast(every)).select(key, F.transform("centres", lambda c: F.struct(F.round(cosine(F.col(vector), c["c"]), 9).alias("s"), c["l"].alias("l"))).alias("s"))
     best = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))
     return scored.withColumn("b", best).select(key, F.col("b.l").alias("assigned"), F.round("b.s", 6).alias("similarity"))
+
+
+def meets(conditions: dict[str, tuple[str, float]]) -> Column:
+    """All of the conditions, by column: (one of ``>``, ``>=``, ``<``, ``<=``, ``==``, ``!=``; a number). Nulls meet none."""
+    compare = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__, "==": Column.__eq__, "!=": Column.__ne__}
+    out = F.lit(True)
+    for c, (op, value) in conditions.items():
+        out = out & F.coalesce(compare[op](F.col(c), F.lit(value)), F.lit(False))
+    return out
+
+
+def without(df: DataFrame, key: str, excluded: DataFrame) -> DataFrame:
+    """Rows whose ``key`` isn't in the list; null keys stay."""
+    return df.join(excluded.select(F.col(key)).distinct(), key, "left_anti")
+
+
+def as_of(df: DataFrame, keys: Sequence[str], time_col: str, at: str, rest: Sequence[str]) -> DataFrame:
+    """The version of each key that was the newest at time ``at``: the keys and ``rest``. Later versions and such without a time don't exist yet."""
+    best = F.max(F.struct(F.col(time_col).alias("__t"), *rest))
+    return df.where(F.col(time_col) <= F.lit(at).cast(df.schema[time_col].dataType)).groupBy(*keys).agg(best.alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
+
+
+def column_health(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per numeric column: ``rows``, ``nulls`` (NaN too), ``zeros``, ``distinct_values``, ``least``, ``greatest``, ``constant``; one scan and one shuffle of distinct values."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v")) for c in columns]))
+    per = df.select(each.alias("x")).groupBy("x.c", "x.v").agg(F.count("*").alias("n"))
+    v, n = F.col("v"), F.col("n")
+    return per.groupBy(F.col("c").alias("column")).agg(
+        F.sum(n).alias("rows"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("nulls"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros"), F.count(v).alias("distinct_values"),
+        F.min(v).alias("least"), F.max(v).alias("greatest"), (F.count(v) <= 1).alias("constant"))

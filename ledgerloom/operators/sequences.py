@@ -1,27 +1,36 @@
 """Action sequences per entity: frequencies, transitions, motifs and signatures.
 
-Neighbouring actions come from the ordered carry of ``series.fill``, so an entity's sequence is never
-gathered in one row or task; an n-gram is the action with the n-1 before it.
+Neighbouring actions are carried over days, so an entity's sequence is never gathered in one row or
+task; an n-gram is the action with the n-1 before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import safe_div
-from ledgerloom.operators.series import fill
+from ledgerloom.functions.numeric import safe_div, seconds
 
 
 def with_history(rows: DataFrame, key: str, time_col: str, tie: str, action: str, n: int) -> DataFrame:
-    """Add ``a1`` .. ``a{n-1}``: the actions one to ``n - 1`` rows before, null where there are none."""
-    out = rows
-    for i in range(1, n):
-        source = action if i == 1 else f"a{i - 1}"
-        # The value one row back; a marker keeps a null apart from no row at all.
-        held = F.struct(F.col(source).alias("v"))
-        out = fill(out, [key], time_col, [tie], {"__h": held}, include_self=False).withColumn(f"a{i}", F.col("__h.v")).drop("__h")
-    return out
+    """Add ``a1`` .. ``a{n-1}``: the actions one to ``n - 1`` rows before, null where there are none.
+
+    Within a day an ordinary window of ``n - 1`` rows does it; what reaches over days comes from the last
+    ``n - 1`` actions of the days before, at most as many days. So the source is read twice, whatever ``n``.
+    """
+    back = n - 1
+    cell = F.struct(F.col(action).alias("v"))  # keeps a null apart from no row at all
+    days = rows.where(F.col(time_col).isNotNull()).withColumn("__b", F.floor(seconds(F.col(time_col)) / 86_400))
+    order = Window.partitionBy(key, "__b").orderBy(time_col, tie)
+    last = Window.partitionBy(key, "__b").orderBy(F.desc(time_col), F.desc(tie))
+    tails = days.select(key, "__b", F.row_number().over(last).alias("__i"), cell.alias("__c")).where(F.col("__i") <= back)
+    per = tails.groupBy(key, "__b").agg(F.sort_array(F.collect_list(F.struct((-F.col("__i")).alias("i"), F.col("__c").alias("c")))).alias("__l"))
+    earlier = Window.partitionBy(key).orderBy("__b").rowsBetween(-back, -1)
+    carried = per.select(F.col(key).alias("__k"), F.col("__b").alias("__tb"), F.transform(F.flatten(F.collect_list("__l").over(earlier)), lambda x: x["c"]).alias("__e"))
+    here = days.withColumn("__n", F.collect_list(cell).over(order.rowsBetween(-back, -1)))
+    joined = here.join(carried, here[key].eqNullSafe(carried["__k"]) & (here["__b"] == carried["__tb"]), "left")
+    past = joined.withColumn("__p", F.concat(F.coalesce("__e", F.array().cast(carried.schema["__e"].dataType)), "__n"))
+    return past.select(*rows.columns, *[F.when(F.size("__p") >= i, F.element_at("__p", -i)["v"]).alias(f"a{i}") for i in range(1, n)])
 
 
 def frequencies(rows: DataFrame, key: str, action: str, kinds: int = 8) -> DataFrame:

@@ -215,3 +215,47 @@ def interpolated(left: DataFrame, right: DataFrame, key: str, left_time: str, ri
     span, at = F.col("n.s") - F.col("p.s"), seconds(F.col("t"))
     between = F.col("p.v") + (F.col("n.v") - F.col("p.v")) * (at - F.col("p.s")) / F.nullif(span, F.lit(0.0))
     return both.select("row.*", F.round(F.coalesce(between, F.col("p.v"), F.col("n.v")), 6).alias("value"))
+
+
+def rolling_ranges(df: DataFrame, keys: Sequence[str], time_col: str, value: str, ranges: dict[str, int]) -> DataFrame:
+    """Add, by name, the mean of ``value`` over the trailing so many seconds (both ends and all rows of the same time included).
+
+    Time is cut into buckets as long as the range. A row counts in its own bucket and as history in the next, so a
+    window over (key, bucket) sees all it needs, and a key with a third of all rows spreads over its buckets. Rows without a
+    time are left out; null values aren't averaged.
+    """
+    out = df.where(F.col(time_col).isNotNull()).withColumn("__t", F.unix_micros(F.col(time_col).cast("timestamp")))
+    for name, s in ranges.items():
+        width = s * 1_000_000
+        two = out.withColumn("__own", F.floor(F.col("__t") / width)).withColumn("__b", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+        w = Window.partitionBy(*keys, "__b").orderBy("__t").rangeBetween(-width, 0)
+        out = two.withColumn(name, F.avg(value).over(w)).where(F.col("__b") == F.col("__own")).drop("__own", "__b")
+    return out.drop("__t")
+
+
+def position_profiles(balances: DataFrame, keys: Sequence[str], life: Sequence[str]) -> DataFrame:
+    """Per entity (``running_balances``): ``entry`` (first held day, as a share of the life of ``life``), ``holding_days``, ``volatility`` (of the balance over its peak).
+
+    ``life`` are the keys whose first and last day bound the share. Entities that never held anything give no row.
+    """
+    span = balances.groupBy(*life).agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    held = F.col("clamped")
+    per = balances.groupBy(*keys).agg(F.min(F.when(held > 0, F.col("day"))).alias("first"), F.stddev_pop(held).alias("sd"), F.max(held).alias("top")).where(F.col("first").isNotNull())
+    j = per.join(span, list(life))
+    days = F.datediff("z", "a")
+    return j.select(*keys, F.round(F.when(days > 0, F.datediff("first", "a") / days).otherwise(0.0), 6).alias("entry"), F.datediff("z", "first").alias("holding_days"), F.round(F.col("sd") / F.col("top"), 6).alias("volatility"))
+
+
+def flows(df: DataFrame, keys: Sequence[str], amount: str) -> DataFrame:
+    """Per entity: ``inflow``, ``outflow``, ``net``, ``imbalance`` (net over turnover), ``turns`` (rows) and ``largest`` movement."""
+    a = F.col(amount)
+    t = df.where(a.isNotNull()).groupBy(*keys).agg(F.sum(F.when(a > 0, a).otherwise(0.0)).alias("i"), F.sum(F.when(a < 0, -a).otherwise(0.0)).alias("o"), F.count("*").alias("turns"), F.max(F.abs(a)).alias("largest"))
+    net, turnover = F.col("i") - F.col("o"), F.col("i") + F.col("o")
+    return t.select(*keys, F.round("i", 2).alias("inflow"), F.round("o", 2).alias("outflow"), (F.round(net, 2) + 0.0).alias("net"), (F.round(F.when(turnover > 0, net / turnover).otherwise(0.0), 6) + 0.0).alias("imbalance"), "turns", F.round("largest", 2).alias("largest"))
+
+
+def cadence(df: DataFrame, keys: Sequence[str], time_col: str, tie: Sequence[str]) -> DataFrame:
+    """Per entity: ``n``, ``mean_gap_s`` and ``irregularity`` (deviation of its gaps over their mean, null below two gaps)."""
+    g = F.col("gap_s")
+    t = with_gaps(df, keys, time_col, tie).groupBy(*keys).agg(F.count("*").alias("n"), F.count(g).alias("gaps"), F.avg(g).alias("mu"), F.stddev_pop(g).alias("sd"))
+    return t.select(*keys, "n", F.round("mu", 4).alias("mean_gap_s"), F.round(F.when((F.col("gaps") >= 2) & (F.col("mu") > 0), F.col("sd") / F.col("mu")), 6).alias("irregularity"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import data_queries, evaluation_queries, graph_queries, holder_queries, model_queries, record_queries, series_queries, stream_queries
+from ledgerloom.plans import data_queries, evaluation_queries, graph_queries, holder_queries, ledger_queries, model_queries, record_queries, series_queries, stream_queries
 
-MODULES = [data_queries, evaluation_queries, graph_queries, holder_queries, model_queries, record_queries, series_queries, stream_queries]
+MODULES = [data_queries, evaluation_queries, graph_queries, holder_queries, ledger_queries, model_queries, record_queries, series_queries, stream_queries]
 
 
 def queries() -> dict:
