@@ -83,3 +83,8 @@ def brief(c: Column) -> Column:
     for unit, letter in reversed(forms):
         out = F.when(size >= unit, F.format_string(f"%.1f{letter}", c / unit)).otherwise(out)
     return out
+
+
+def hash31(text: Column) -> Column:
+    """A number below 2 ** 31 from the MD5 of a text, which any engine can repeat."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % (1 << 31)

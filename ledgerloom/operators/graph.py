@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import safe_div, seconds
+from ledgerloom.functions.numeric import hash31, safe_div, seconds
 from ledgerloom.operators.series import fill
 from ledgerloom.scratch import Scratch
 
@@ -58,23 +58,28 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(state.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def converged(scratch: Scratch, state: DataFrame, step: Callable[[DataFrame], DataFrame], tolerance: float, rounds: int, at_once: int = 10, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def converged(scratch: Scratch, state: DataFrame, step: Callable[[DataFrame], DataFrame], tolerance: float, rounds: int, at_once: int = 10, scaled: bool = False) -> DataFrame:
     """(``node``, ``x``) after so many ``step``s, ``at_once`` to a job, that the last job changed ``x`` by less than ``tolerance`` of its sum in all.
 
-    ``finish`` is applied to each job's result. ``rounds`` steps without that are an error.
+    ``scaled``: steps multiply ``x``, and only its direction counts; it is brought back to the sum 1 by each job. A job tells
+    its change by the write itself. ``rounds`` steps without that are an error.
     """
+    saved, growth = state, 1.0
     for _ in range(0, rounds, at_once):
         new = state
         for _ in range(at_once):
             new = step(new)
-        new = raw = scratch.save(new)
-        if finish:
-            new = scratch.save(finish(raw))
-            scratch.discard(raw)
-        change = new.join(state.withColumnRenamed("x", "was"), "node").agg(F.sum(F.abs(F.col("x") - F.col("was"))).alias("d"), F.sum("x").alias("s")).first()
-        scratch.discard(state)
-        state = new
-        if not change["s"] or change["d"] <= tolerance * change["s"]:
+        told = Observation()
+        both = new.join(state.select("node", (F.col("x") * growth).alias("was")), "node")
+        new = scratch.save(both.observe(told, F.sum(F.abs(F.col("x") - F.col("was"))).alias("d"), F.sum("x").alias("s")).select("node", "x"))
+        scratch.discard(saved)
+        change, total = told.get["d"], told.get["s"]
+        saved = state = new
+        if not total:
+            return state
+        if scaled:
+            state, growth = new.withColumn("x", F.col("x") / total), total
+        if change <= tolerance * total:
             return state
     raise RuntimeError(f"no convergence within {rounds} rounds")
 
@@ -251,7 +256,7 @@ def random_walks(edges: DataFrame, walks: int = 200, length: int = 30, seed: int
     state = deg.select("node", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("w")).withColumn("walk", F.concat_ws("#", "node", "w")).withColumn("nodes", F.array("node"))
     saved = None
     for step in range(length - 1):
-        pick = state.join(deg, "node").withColumn("i", F.pmod(F.xxhash64("walk", F.lit(step), F.lit(seed)), F.col("d")).cast("int"))
+        pick = state.join(deg, "node").withColumn("i", F.pmod(hash31(F.concat_ws(":", "walk", F.lit(step), F.lit(seed))), F.col("d")).cast("int"))
         moved = pick.join(numbered, ["node", "i"]).select(F.col("to").alias("node"), "walk", F.concat("nodes", F.array("to")).alias("nodes"))
         state = moved
         if step % 3 == 2:
@@ -317,3 +322,43 @@ def member_share(holdings: DataFrame, group: str, who: str, value: str, members:
     m = members.select(F.col(members.columns[0]).alias(who)).where(F.col(who).isNotNull()).distinct().withColumn("__in", F.lit(1))
     t = holdings.join(m, who, "left").groupBy(group).agg(F.count("*").alias("holders"), F.count("__in").alias("members"), F.sum(F.when(F.col("__in") == 1, F.col(value)).otherwise(0.0)).alias("a"), F.sum(value).alias("b"))
     return t.select(group, "holders", "members", F.round(safe_div(F.col("a"), F.col("b")), 6).alias("share"))
+
+
+def betweenness(edges: DataFrame, sources: int = 500) -> DataFrame:
+    """(``node``, ``betweenness``): the share of shortest paths between others that lead through a node, over pairs (``u``, ``v``).
+
+    Paths start from ``sources`` nodes, chosen by hash, or from all if there are no more; the sampled sums are scaled up. One
+    breadth-first search serves all sources: a level is a join and a sum over (source, node), and the way back adds up what
+    each node passes on. Normalised by (n - 1)(n - 2); 0 for graphs of under three nodes.
+    """
+    scratch = Scratch(edges.sparkSession, "betweenness")
+    e = undirected(edges, "u", "v")
+    both = scratch.save(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    nodes = scratch.save(both.select(F.col("u").alias("node")).distinct())
+    n = nodes.count()
+    start = nodes.orderBy(hash31(F.col("node").cast("string")), "node").limit(sources).select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
+    levels = [scratch.save(start)]
+    while True:
+        reached = levels[-1].join(both, F.col("node") == F.col("u")).groupBy("s", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        # On an undirected graph a step leads to the level before, the same or the next one.
+        old = levels[-1].select("s", "node")
+        if len(levels) > 1:
+            old = old.unionByName(levels[-2].select("s", "node"))
+        reached = reached.join(old, ["s", "node"], "left_anti")
+        level = scratch.save(reached.select("s", "node", F.lit(len(levels)).alias("d"), "paths"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    passed = levels[-1].select("s", "node", F.lit(0.0).alias("x"))
+    sums = [] if len(levels) == 1 else [passed]
+    for near, far in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
+        given = far.select("s", F.col("node").alias("v"), F.col("paths").alias("p2")).join(passed.select("s", F.col("node").alias("v"), "x"), ["s", "v"])
+        up = given.join(both, "v").join(near.select("s", F.col("node").alias("u"), "paths"), ["s", "u"])
+        got = up.groupBy("s", F.col("u").alias("node")).agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("x"))).alias("x"))
+        passed = scratch.save(near.select("s", "node").join(got, ["s", "node"], "left").select("s", "node", F.coalesce("x", F.lit(0.0)).alias("x")))
+        sums.append(passed)
+    every = nodes.select("node", F.lit(0.0).alias("x"))
+    for part in sums:
+        every = every.unionByName(part.where("s <> node").select("node", "x"))
+    scale = n / min(n, sources) / max((n - 1) * (n - 2), 1) if n else 0.0
+    return every.groupBy("node").agg(F.round(F.sum("x") * scale, 8).alias("betweenness"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ def permutation_test(rows: DataFrame, key: str, ident: str, value: Column, repli
     base = scratch.save(rows.select(F.col(key).alias("k"), F.col(ident).cast("string").alias("i"), value.cast("double").alias("v")).where("k is not null and v is not null"))
     each = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     slots = ranked(base.select("k", "i"), [], [F.col("i")]).select("rank", "k")
-    dealt = ranked(each.select("rep", "i", "v"), ["rep"], [F.xxhash64("i", "rep"), F.col("i")]).select("rep", "rank", "v")
+    dealt = ranked(each.select("rep", "i", "v"), ["rep"], [F.md5(F.concat_ws(":", "i", "rep")), F.col("i")]).select("rep", "rank", "v")
     null = slots.join(dealt, "rank").groupBy("rep", "k").agg(F.avg("v").alias("m"))
     seen = base.groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("observed"))
     joined = null.join(seen, "k").groupBy("k").agg(
@@ -64,7 +64,7 @@ def eigenvector(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 20_000)
         norm = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
         return state.join(F.broadcast(norm)).select("node", (F.col("x") / F.col("n")).alias("x"))  # one row
 
-    state = converged(scratch, nodes, step, tolerance, rounds, finish=unit)
+    state = converged(scratch, nodes, step, tolerance, rounds, scaled=True)
     return unit(state).select("node", F.round("x", 6).alias("centrality"))
 
 
@@ -84,22 +84,28 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> Da
     return d.select(key, "cluster", F.round(F.when(F.greatest(own, other) > 0, (other - own) / F.greatest(own, other)).otherwise(0.0), 6).alias("silhouette"))
 
 
-def isotonic(pred: DataFrame, p: str = "p", y: str = "y", places: int = 3) -> DataFrame:
-    """The isotonic calibration curve: ``p`` (rounded to ``places``), ``n``, ``rate``, ``calibrated``.
+def isotonic(pred: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """The isotonic calibration curve in steps: ``p_from``, ``p_to``, ``n``, ``calibrated``; probabilities are taken as they are.
 
-    Rows are pooled by rounded probability first, at most 10 ** ``places`` + 1 rows; the pooling of adjacent
-    violators is then a loop over those.
+    Rows are pooled by probability, sorted by range, and adjacent violators are pooled within each partition as its rows stream by;
+    the blocks left are pooled once more in one task, which then holds the steps of all partitions. Their number grows with about the cube root of the rows where outcomes are noisy.
     """
-    t = pred.where(F.col(p).between(0, 1) & F.col(y).isNotNull()).groupBy(F.round(p, places).alias("p")).agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("rate")).toPandas().sort_values("p")
-    blocks: list[list[float]] = []  # value, weight, points
-    for rate, n in zip(t["rate"], t["n"], strict=True):
-        blocks.append([rate, n, 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v, w, m = blocks.pop()
-            blocks[-1] = [(blocks[-1][0] * blocks[-1][1] + v * w) / (blocks[-1][1] + w), blocks[-1][1] + w, blocks[-1][2] + m]
-    fitted = [v for v, _, m in blocks for _ in range(int(m))]
-    rows = [(float(a), int(b), round(float(c), 6), round(float(f), 6)) for a, b, c, f in zip(t["p"], t["n"], t["rate"], fitted, strict=True)]
-    return pred.sparkSession.createDataFrame(rows, "p double, n long, rate double, calibrated double")
+    def pool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[list[float]] = []  # from, to, rows, sum
+        for f in frames:
+            for row in f[["a", "z", "n", "k"]].itertuples(index=False):
+                done.append(list(row))
+                while len(done) > 1 and done[-2][3] * done[-1][2] >= done[-1][3] * done[-2][2]:
+                    _, z, n, k = done.pop()
+                    done[-1] = [done[-1][0], z, done[-1][2] + n, done[-1][3] + k]
+        yield pd.DataFrame(done, columns=["a", "z", "n", "k"])
+
+    schema = "a double, z double, n long, k double"
+    q = F.col(p).cast("double")
+    points = pred.where(q.between(0, 1) & F.col(y).isNotNull()).groupBy(q.alias("a")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("k"))
+    some = points.select("a", F.col("a").alias("z"), "n", "k").repartitionByRange("a").sortWithinPartitions("a").mapInPandas(pool, schema)
+    whole = some.repartition(1).sortWithinPartitions("a").mapInPandas(pool, schema)
+    return whole.select(F.col("a").alias("p_from"), F.col("z").alias("p_to"), "n", F.round(F.col("k") / F.col("n"), 6).alias("calibrated"))
 
 
 def recent_brier(pred: DataFrame, by: str, time_col: str, tie: str, p: str = "p", y: str = "y", last: int = 1000) -> DataFrame:

@@ -110,7 +110,33 @@ _LABELS = r"""
              CASE WHEN NOT isnan(model_confidence) THEN model_confidence END AS p, human_confidence AS hc, created_at, label_version FROM labels),
     l AS (SELECT *, (proposed = human)::INT AS y FROM spelled)"""
 
+
+def _det(rows: list[int], columns: list[int]) -> str:
+    """The determinant of part of a correlation matrix with cells r00 .., by its first row."""
+    if len(rows) == 1:
+        return f"r{min(rows[0], columns[0])}{max(rows[0], columns[0])}"
+    return "(" + " ".join(f"{'+-'[j % 2]} r{min(rows[0], c)}{max(rows[0], c)} * {_det(rows[1:], columns[:j] + columns[j + 1:])}" for j, c in enumerate(columns)) + ")"
+
+
+def _associations_sql(name: str, columns: list[str]) -> str:
+    n = range(len(columns))
+    cells = ", ".join(f"{f'corr({columns[i]}, {columns[j]})' if i != j else '1.0'} AS r{i}{j}" for i in n for j in n if j >= i)
+    vif = lambda i: f"{_det([k for k in n if k != i], [k for k in n if k != i])} / {_det(list(n), list(n))}"
+    rows = " UNION ALL ".join(f"SELECT '{columns[i]}' AS a, '{columns[j]}' AS b, round(r{i}{j}, 6) AS pearson, round({vif(i)}, 4) AS vif FROM m" for i in n for j in n if j > i)
+    return f"WITH m AS (SELECT {cells} FROM {name}) {rows}"
+
+
 SQL = {
+    "order_associations": _associations_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
+    # Fifty Newton steps as a recursion over the two coefficients.
+    "platt_scaling": f"""WITH RECURSIVE {_LABELS}, q AS (SELECT ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) AS x, y FROM l WHERE p IS NOT NULL AND y IS NOT NULL),
+    g AS MATERIALIZED (SELECT x, count(*) AS n, sum(y) AS k FROM q GROUP BY x),
+    s AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+      SELECT i + 1, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+        SELECT i, a, b, sum((k - n * m) * x) AS g1, sum(k - n * m) AS g2, sum(n * m * (1 - m) * x * x) + 1e-9 AS h11, sum(n * m * (1 - m) * x) AS h12, sum(n * m * (1 - m)) + 1e-9 AS h22
+        FROM (SELECT s.i, s.a, s.b, g.x, g.n, g.k, 1 / (1 + exp(-(s.a * g.x + s.b))) AS m FROM s CROSS JOIN g WHERE s.i < 50) GROUP BY i, a, b)),
+    f AS (SELECT a, b FROM s WHERE i = 50)
+    SELECT round(any_value(a), 5) AS a, round(any_value(b), 5) AS b, round(sum(-(k * ln(1 / (1 + exp(-(a * x + b)))) + (n - k) * ln(1 - 1 / (1 + exp(-(a * x + b)))))) / sum(n), 6) AS log_loss FROM f CROSS JOIN g""",
     "label_counts": "SELECT label_domain, lower(trim(review_status)) AS status, count(*) AS n FROM labels GROUP BY ALL",
     "reviewer_kappa": f"""WITH {_LABELS}, r AS (SELECT domain, human, second FROM l WHERE human IS NOT NULL AND second IS NOT NULL),
     a AS (SELECT domain, human AS x, count(*) AS ca FROM r GROUP BY ALL), b AS (SELECT domain, second AS x, count(*) AS cb FROM r GROUP BY ALL),

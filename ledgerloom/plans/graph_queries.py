@@ -57,6 +57,10 @@ def pair_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.label_communities(_pairs(spark, sf_dir))
 
 
+def pair_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.betweenness(_pairs(spark, sf_dir))
+
+
 def pair_node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
@@ -82,7 +86,7 @@ def size_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     funding_degrees, funding_components, funding_pagerank, funding_ancestors, shared_funders, funder_timing, funding_windows, pair_network, pair_modularity,
-    pair_communities, pair_node_vectors, shared_mint_groups, pair_shared_mints, size_blocks,
+    pair_communities, pair_betweenness, pair_node_vectors, shared_mint_groups, pair_shared_mints, size_blocks,
 )}
 
 _PAIRS = """
@@ -98,7 +102,21 @@ _UP = """
     anc AS (SELECT node, ancestor, min(distance) AS distance FROM (SELECT *, 1 AS distance FROM up UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE node <> ancestor GROUP BY ALL)"""
 
 
+def _communities_sql(rounds: int) -> str:
+    steps = "".join(f""",
+    v{i} AS MATERIALIZED (SELECT node, label, count(*) AS n FROM (SELECT k.u AS node, r.label FROM linked k JOIN r{i - 1} r ON r.node = k.v UNION ALL SELECT node, label FROM r{i - 1}) GROUP BY ALL),
+    r{i} AS MATERIALIZED (SELECT node, arg_min(label, (-n, label)) AS label FROM v{i} GROUP BY node)""" for i in range(1, rounds + 1))
+    return f"""WITH {_PAIRS}, linked AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), r0 AS MATERIALIZED (SELECT DISTINCT u AS node, u AS label FROM linked){steps} SELECT node, label FROM r{rounds}"""
+
+
 SQL = {
+    "pair_communities": _communities_sql(8),
+    # Walks of the least length between two nodes are their shortest paths; those through a third are products.
+    "pair_betweenness": f"""WITH RECURSIVE {_PAIRS}, linked AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e),
+    w AS (SELECT 0 AS k, u AS s, u AS t, 1.0::DOUBLE AS c FROM (SELECT DISTINCT u FROM linked) UNION ALL SELECT w.k + 1, w.s, l.v, sum(w.c) FROM w JOIN linked l ON l.u = w.t WHERE w.k < 250 GROUP BY w.k, w.s, l.v),
+    sp AS MATERIALIZED (SELECT s, t, min(k) AS d, arg_min(c, k) AS c FROM w GROUP BY s, t), n AS (SELECT count(DISTINCT u) AS n FROM linked),
+    b AS (SELECT a.t AS node, sum(a.c * b.c / x.c) AS x FROM sp a JOIN sp b ON b.s = a.t JOIN sp x ON x.s = a.s AND x.t = b.t AND x.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.t)
+    SELECT node, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 8) AS betweenness FROM (SELECT DISTINCT u AS node FROM linked) CROSS JOIN n LEFT JOIN b USING (node)""",
     "funding_degrees": f"""WITH {FUNDING}, e AS (SELECT DISTINCT src, dst FROM funding)
     SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node""",
     "funding_components": f"""WITH RECURSIVE {FUNDING}, e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM funding WHERE src <> dst), {_CLOSE} SELECT * FROM comp""",

@@ -31,7 +31,7 @@ def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.isotonic(_labels(spark, sf_dir), places=2)
+    return M.isotonic(_labels(spark, sf_dir))
 
 
 def brier_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,22 @@ SQL = {
     r AS (SELECT 0 AS i, u AS node, 1.0::DOUBLE AS x FROM (SELECT DISTINCT u FROM linked)
       UNION ALL SELECT r.i + 1, l.u, sum(r.x) / any_value(top) FROM r JOIN looped l ON l.v = r.node CROSS JOIN scale WHERE r.i < 1000 GROUP BY r.i, l.u)
     SELECT node, round(x / (SELECT sqrt(sum(x * x)) FROM r WHERE i = 1000), 6) AS centrality FROM r WHERE i = 1000""",
+    # Of every run of probabilities around one the mean; the curve is the greatest over starts of the least over ends.
+    "isotonic_curve": f"""WITH {_LABELS}, g AS (SELECT p, count(*) AS n, sum(y) AS k FROM l WHERE p BETWEEN 0 AND 1 AND y IS NOT NULL GROUP BY p),
+    c AS (SELECT *, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS sn, sum(k) OVER (ORDER BY p) AS sk FROM g),
+    e AS (SELECT s.i AS s, t.i AS t, (t.sk - s.sk + s.k) / (t.sn - s.sn + s.n) AS m FROM c s JOIN c t ON t.i >= s.i),
+    lows AS (SELECT s, t, min(m) OVER (PARTITION BY s ORDER BY t DESC) AS low FROM e), f AS (SELECT t AS i, max(low) AS v FROM lows GROUP BY t)
+    SELECT min(p) AS p_from, max(p) AS p_to, CAST(sum(n) AS BIGINT) AS n, round(v, 6) AS calibrated FROM f JOIN c USING (i) GROUP BY round(v, 12), v""",
+    "value_permutations": """WITH b AS (SELECT event_type AS k, CAST(event_id AS VARCHAR) AS i, value AS v FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL),
+    slots AS (SELECT k, row_number() OVER (ORDER BY i) AS r FROM b), dealt AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY md5(i || ':' || rep), i) AS r FROM b, (SELECT unnest(range(1, 1001)) AS rep)),
+    m AS (SELECT rep, k, avg(v) AS m FROM dealt JOIN slots USING (r) GROUP BY ALL), s AS (SELECT k, count(*) AS n, avg(v) AS observed FROM b GROUP BY k)
+    SELECT k AS event_type, any_value(n) AS n, round(any_value(observed), 6) AS observed, round(avg(m), 6) AS expected, round(CASE WHEN stddev_pop(m) > 0 THEN (any_value(observed) - avg(m)) / stddev_pop(m) END, 4) AS z,
+           round((count(*) FILTER (WHERE m >= observed) + 1) / 1001, 6) AS p FROM m JOIN s USING (k) GROUP BY k""",
+    "wallet_walks": """WITH RECURSIVE e AS (SELECT DISTINCT least(wallet1, wallet2) AS u, greatest(wallet1, wallet2) AS v FROM wallet_similarities WHERE is_coordinated AND wallet1 <> wallet2),
+    linked AS (SELECT u, v FROM e UNION SELECT v, u FROM e), nb AS MATERIALIZED (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY u) AS d FROM linked),
+    w AS (SELECT u || '#' || n AS walk, u AS node, u AS nodes, 0 AS step FROM (SELECT DISTINCT u FROM nb), (SELECT unnest(range(1, 201)) AS n)
+      UNION ALL SELECT w.walk, nb.v, w.nodes || '>' || nb.v, w.step + 1 FROM w JOIN nb ON nb.u = w.node AND nb.i = (CAST('0x' || substr(md5(w.walk || ':' || w.step || ':42'), 1, 8) AS BIGINT) % 2147483648) % nb.d WHERE w.step < 29)
+    SELECT walk, nodes FROM w WHERE step = 29""",
     "synchronised_wallets": f"""WITH RECURSIVE {TRADES},
     g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 900 SECOND, true)::INT AS opens FROM trades WINDOW w AS (PARTITION BY mint ORDER BY ts, signature)),
     s AS (SELECT DISTINCT wallet, mint, sum(opens) OVER (PARTITION BY mint ORDER BY ts, signature) AS no FROM g),

@@ -9,7 +9,7 @@ from ledgerloom.streaming import events as E
 
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.run_available(E.windowed_counts(E.read_stream(spark, sf_dir, "events"), "ts", "event_type"), "counts", "complete")
+    out = E.run_available(E.windowed_counts(E.read_stream(spark, sf_dir, "events"), "ts", "event_type"), "counts", "update")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -33,6 +33,11 @@ QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_distinct, stream_
 SQL = {
     "stream_daily_counts": "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_distinct": "SELECT event_id, user_id FROM events",
+    "stream_balance_watch": """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN -value ELSE value END AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0.0::DOUBLE AS balance, 0.0::DOUBLE AS told, false AS says FROM n WHERE i = 1
+      UNION ALL SELECT n.user_id, n.i, n.event_id, greatest(0.0, f.balance + n.a), CASE WHEN abs(greatest(0.0, f.balance + n.a) - f.told) >= 1000 THEN greatest(0.0, f.balance + n.a) ELSE f.told END, abs(greatest(0.0, f.balance + n.a) - f.told) >= 1000
+        FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)
+    SELECT user_id, event_id, round(balance, 4) AS balance FROM f WHERE says""",
     "stream_cooldown": """WITH RECURSIVE e AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'),
     o AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id
       UNION ALL SELECT o.user_id, (SELECT min(ts) FROM e WHERE e.user_id = o.user_id AND e.ts >= o.ts + INTERVAL 1 DAY) FROM o WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = o.user_id AND e.ts >= o.ts + INTERVAL 1 DAY))

@@ -29,17 +29,26 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over all available input into a table in the shared folder; its rows."""
+    """Run over all available input into a table in the shared folder; its rows.
+
+    With mode ``update`` a trigger writes the groups it changed; of a group the last written row counts, and the key
+    is every column that isn't ``n`` or ``total``. State ends with the watermark, and no trigger rewrites the whole result.
+    """
     spark = stream.sparkSession
     scratch = Scratch(spark, f"stream-{name}")
     out = f"{scratch.root}/out"
 
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
-    else:  # the last complete or updated state replaces the one before
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:
+        writer = stream.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.withColumn("trigger", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{out}/{i}"))
     writer.option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    keys = [c for c in stream.columns if c not in ("n", "total")]
+    rows = spark.read.schema(stream.schema.add("trigger", "long")).parquet(f"{out}/*")
+    last = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "trigger")
+    return rows.groupBy(*keys).agg(last.alias("v")).select(*keys, "v.*")
 
 
 def windowed_counts(events: DataFrame, time_col: str, by: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -53,13 +62,17 @@ def distinct_events(events: DataFrame, time_col: str, key: str, within: str = "1
     return events.withColumn("at", F.col(time_col).cast("timestamp")).withWatermark("at", within).dropDuplicatesWithinWatermark([key]).drop("at")
 
 
-def cooled_alerts(alerts: DataFrame, key: str, time_col: str, ident: str, cooldown_s: float = 3600.0) -> DataFrame:
+def cooled_alerts(alerts: DataFrame, key: str, time_col: str, ident: str, cooldown_s: float = 3600.0, late: str = "10 days") -> DataFrame:
     """Alerts that open a pause of ``cooldown_s`` per key; others within the pause are dropped. State: the last alert's time.
 
     A key's rows of one trigger are sorted in memory, so triggers must be bounded (``read_stream``'s
-    ``files_per_trigger``); rows that come after a trigger with newer ones find the newer state.
+    ``files_per_trigger``); rows that come after a trigger with newer ones find the newer state. A key's state
+    ends once the watermark has passed its last alert by the pause, when it no longer matters.
     """
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
         last = state.get[0] if state.exists else -1e18
         kept = []
@@ -68,10 +81,12 @@ def cooled_alerts(alerts: DataFrame, key: str, time_col: str, ident: str, cooldo
                 kept.append(ident_)
                 last = at
         state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + cooldown_s) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [str(k[0])] * len(kept), "id": kept})
 
-    rows = alerts.select(F.col(key).cast("string").alias("k"), (F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6).alias("at"), F.col(ident).cast("long").alias("id"))
-    return rows.groupBy("k").applyInPandasWithState(run, "key string, id long", "last double", "append", GroupStateTimeout.NoTimeout)
+    timed = alerts.withColumn("__w", F.col(time_col).cast("timestamp")).withWatermark("__w", late)
+    rows = timed.select("__w", F.col(key).cast("string").alias("k"), (F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6).alias("at"), F.col(ident).cast("long").alias("id"))
+    return rows.groupBy("k").applyInPandasWithState(run, "key string, id long", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def balance_watch(changes: DataFrame, key: str, time_col: str, ident: str, amount: str, threshold: float) -> DataFrame:
