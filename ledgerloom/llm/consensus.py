@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ledgerloom.scratch import Scratch
 
 
+#: Accuracies that move by less are stable.
+TOLERANCE = 2e-3
+
+
 def spelled(c: Column) -> Column:
     """Lower case, no surrounding blanks, ``_`` for runs of blanks, ``-`` and ``_`` between words; null if nothing is left."""
     joined = F.regexp_replace(F.lower(c), r"[\s\p{Z}_-]+", "_")
@@ -37,10 +41,17 @@ class Consensus:
     items: DataFrame
     reviewers: DataFrame
     agreement: DataFrame
+    #: Rounds taken, and the greatest move of an accuracy in the last one; not below the tolerance if the rounds ran out.
+    rounds: int = 0
+    change: float = 0.0
+
+    @property
+    def converged(self) -> bool:
+        return self.change < TOLERANCE
 
 
 def consensus(
-    votes: DataFrame, domain: str, item: str, least_reviewers: int = 3, rounds: int = 30, tolerance: float = 2e-3, prior: float = 6.0,
+    votes: DataFrame, domain: str, item: str, least_reviewers: int = 3, rounds: int = 30, prior: float = 6.0,
 ) -> Consensus:
     """Alternate weighted consensus and leave-one-out accuracy of reviewers until stable.
 
@@ -52,7 +63,8 @@ def consensus(
     one who reliably takes two labels for each other counts for the other one. The probabilities are
     means, over the reviewer's votes, of what the item's *other* votes give (leave-one-out: no reviewer
     confirms itself), smoothed by ``prior`` votes towards a reviewer who errs evenly with the same
-    accuracy, which is itself smoothed towards 0.7. Rounds end when no accuracy moves by ``tolerance``.
+    accuracy, which is itself smoothed towards 0.7. Rounds end when no accuracy moves by
+    ``TOLERANCE``, or after ``rounds``; the result tells which.
 
     Ties go to the label that is first by name. Agreement is Krippendorff's alpha for nominal labels,
     which allows for missing ratings; null where all labels are the same. A label known from one
@@ -93,8 +105,8 @@ def consensus(
 
     tallies = taught.groupBy(domain, "reviewer", "s", "k").agg(F.count("*").alias("n"))
     model = _even_weights(tallies, most)
-    before = None
-    for _ in range(rounds if most else 0):
+    before, change, taken = None, float("inf") if most else 0.0, 0
+    for taken in range(1, (rounds if most else 0) + 1):
         weighed, whole = summed(taught, model)
         others = weighed.join(whole, "oid")
         sums = scratch.save(
@@ -106,7 +118,8 @@ def consensus(
             moved = _null_safe(new, before.select(domain, "reviewer", "s", F.col("accuracy").alias("was")), [domain, "reviewer", "s"])
             change = moved.agg(F.max(F.abs(F.col("accuracy") - F.col("was"))).alias("d")).first()["d"]
             scratch.discard(before)
-            if change is None or change < tolerance:
+            change = change or 0.0
+            if change < TOLERANCE:
                 model = new
                 break
         before = model = new
@@ -132,7 +145,7 @@ def consensus(
         F.round(F.coalesce("c", F.lit(0)) / F.col("n"), 6).alias("agreement"),
     )
     reviewers = model.groupBy(domain, "reviewer").agg(F.round(F.max("accuracy"), 6).alias("reliability"), F.sum("n").alias("judgements"))
-    return Consensus(items, reviewers, krippendorff(votes, domain, item))
+    return Consensus(items, reviewers, krippendorff(votes, domain, item), taken, change)
 
 
 def _array(parts) -> Column:

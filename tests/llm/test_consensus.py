@@ -34,6 +34,8 @@ def test_beats_plain_voting_and_finds_who_is_reliable(spark):
     assert set(got) == set(truth) and right > 0.88 and right > sum(plain[i] == t for i, t in truth.items()) / len(truth) + 0.1
     trust = {r.reviewer: r.reliability for r in c.reviewers.collect()}
     assert trust["good1"] > trust["fair1"] > trust["poor"] > trust["swaps"]
+    assert c.converged and 2 <= c.rounds < 30
+    assert not consensus(spark.createDataFrame(rows, VOTES), "domain", "item", rounds=2).converged
 
 
 def test_judgements_spelling_and_one_a_reviewer(spark):
