@@ -85,3 +85,14 @@ def percentile_tiers(holders: DataFrame, group: str = "mint", key: str = "wallet
     pct = F.when(F.col("size") == 1, 100.0).otherwise(100 * (F.col("size") - F.col("rank")) / F.col("size"))
     tier = F.when(pct >= 99, "ultra").when(pct >= 95, "mega").when(pct >= 90, "whale").when(pct >= 75, "large").otherwise("regular")
     return r.select(group, key, "rank", F.round(pct, 6).alias("percentile"), tier.alias("tier"))
+
+
+def breadth(changes: DataFrame, who: str, item: str, time_col: str, amount: str) -> DataFrame:
+    """Per entity over all its items: ``items``, ``active_days``, ``turnover``, the ``largest_share`` of one item in it and their ``hhi``."""
+    a = F.abs(F.col(amount))
+    per = changes.where(F.col(amount).isNotNull()).groupBy(who, item).agg(F.sum(a).alias("v"))
+    days = changes.where(F.col(time_col).isNotNull()).select(who, F.col(time_col).cast("date").alias("d")).distinct().groupBy(who).agg(F.count("*").alias("active_days"))
+    v = F.col("v")
+    t = per.groupBy(who).agg(F.count("*").alias("items"), F.sum(v).alias("t"), F.max(v).alias("m"), F.sum(v * v).alias("q"))
+    share = lambda x, y: F.round(F.when(y > 0, x / y).otherwise(0.0), 6)
+    return t.join(days, who, "left").select(who, "items", "active_days", F.round("t", 2).alias("turnover"), share(F.col("m"), F.col("t")).alias("largest_share"), share(F.col("q"), F.col("t") * F.col("t")).alias("hhi"))

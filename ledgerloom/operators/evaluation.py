@@ -292,3 +292,27 @@ def most_uncertain(rows: DataFrame, by: str, ident: str, p: str, k: int = 10) ->
     """The ``k`` rows of each group whose probability lies nearest to a half (ties: the least identifier, then value), for review: a top-k report."""
     w = Window.partitionBy(by).orderBy(F.round(F.abs(F.col(p) - 0.5), 9), ident, p)
     return rows.where(F.col(p).isNotNull() & ~F.isnan(p)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(by, ident, F.col(p).alias("p"), "place")
+
+
+def concordance(rows: DataFrame, duration: str, event: str, score: str) -> DataFrame:
+    """Harrell's C of a risk score: ``concordant``, ``discordant`` and ``tied`` comparable pairs and ``c_index``; null without any.
+
+    A pair is comparable if the one with the shorter duration had the event; it is concordant if that one has the higher score. Pairs are counted,
+    not listed: two scores' ranks first differ in one bit, and for each bit, rows that share the bits above it are summed
+    along the durations. So the work is the rows times the bits of the number of different scores.
+    """
+    full = rows.where(F.col(duration).isNotNull() & F.col(event).isNotNull() & F.col(score).isNotNull()).select(F.col(duration).alias("t"), F.col(event).cast("long").alias("e"), F.col(score).alias("s"))
+    places = ranked(full.select("s").distinct(), [], [F.col("s")]).select("s", (F.col("rank") - 1).alias("r"), "size")
+    placed = full.groupBy("s", "t").agg(F.count("*").alias("n"), F.sum("e").alias("e")).join(places, "s")
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("size").cast("double"))).cast("int") - 1, F.lit(0)))
+    bits = placed.select("t", "n", "e", "r", F.explode(levels).alias("l")).select(
+        "t", "n", "e", "l", F.expr("shiftright(r, l + 1)").alias("above"), F.expr("shiftright(r, l) & 1").alias("bit"))
+    upper = F.col("bit") == 1
+    cells = bits.groupBy("l", "above", "t").agg(
+        F.sum(F.when(upper, 0).otherwise(F.col("n"))).alias("n0"), F.sum(F.when(upper, F.col("n")).otherwise(0)).alias("n1"),
+        F.sum(F.when(upper, 0).otherwise(F.col("e"))).alias("e0"), F.sum(F.when(upper, F.col("e")).otherwise(0)).alias("e1"))
+    longer = ranked(cells, ["l", "above"], [F.col("t")], {"c0": F.col("n0"), "c1": F.col("n1")})
+    apart = longer.agg(F.sum(F.col("e1") * (F.col("c0_all") - F.col("c0"))).alias("concordant"), F.sum(F.col("e0") * (F.col("c1_all") - F.col("c1"))).alias("discordant"))
+    same = ranked(placed.select("r", "t", "n", "e"), ["r"], [F.col("t")], {"c": F.col("n")}).agg(F.sum(F.col("e") * (F.col("c_all") - F.col("c"))).alias("tied"))
+    c, d, t = (F.coalesce(x, F.lit(0)) for x in ("concordant", "discordant", "tied"))
+    return apart.join(F.broadcast(same)).select(c.alias("concordant"), d.alias("discordant"), t.alias("tied"), F.round(F.try_divide(c + t / 2, c + d + t), 6).alias("c_index"))  # single rows

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import hash31, safe_div, seconds
+from ledgerloom.operators.ranking import ranked
 from ledgerloom.operators.series import fill
 from ledgerloom.scratch import Scratch
 
@@ -362,3 +363,8 @@ def betweenness(edges: DataFrame, sources: int = 500) -> DataFrame:
         every = every.unionByName(part.where("s <> node").select("node", "x"))
     scale = n / min(n, sources) / max((n - 1) * (n - 2), 1) if n else 0.0
     return every.groupBy("node").agg(F.round(F.sum("x") * scale, 8).alias("betweenness"))
+
+
+def split_blocks(rows: DataFrame, block: str, order: list[Column], most: int) -> DataFrame:
+    """Rows with ``part``: blocks of more than ``most`` rows are cut into parts of so many, in the given total order."""
+    return ranked(rows, [block], order).withColumn("part", F.floor((F.col("rank") - 1) / most)).drop("rank", "size")

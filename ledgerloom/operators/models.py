@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import seconds
+from ledgerloom.functions.numeric import seconds, tidy
 from ledgerloom.operators.graph import converged, shared_item_groups, undirected
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.operators.series import fill, with_gaps
@@ -248,3 +251,38 @@ def evolution(changes: DataFrame, key: str, time_col: str, amount: str, step_day
     run = steps.select(key, "slot", "a", F.round(F.sum("net").over(w), 2).alias("position"), F.sum("n").over(w).alias("rows"), F.coalesce(F.lead("slot").over(Window.partitionBy(key).orderBy("slot")) - 1, F.ceil(F.datediff("b", "a") / step_days)).alias("until"))
     return run.withColumn("slot", F.explode(F.sequence("slot", "until"))).select(key, F.date_add("a", (F.col("slot") * step_days).cast("int")).alias("day"), (F.col("position") + 0.0).alias("position"), "rows")
 
+
+
+def random_projection(rows: DataFrame, key: str, vector: str, dims: int, size: int, seed: int = 42) -> DataFrame:
+    """(``key``, ``axis``, ``x``): vectors of ``dims`` numbers on ``size`` axes of random signs (by hash), scaled so that distances keep their mean."""
+    signs = np.array([[1.0 if int(md5(f"{i}:{j}:{seed}".encode()).hexdigest()[:8], 16) % 2 else -1.0 for i in range(dims)] for j in range(size)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
+            out = x @ signs.T / math.sqrt(size)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, size), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "v"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    projected = rows.where(F.size(vector) == dims).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, v array<double>")
+    return projected.select(key, F.posexplode("v").alias("axis", "x")).select(key, "axis", tidy("x", 6).alias("x"))
+
+
+def trend_forecast(days: DataFrame, by: str, value: str, window: int = 14) -> DataFrame:
+    """Per key the line through its last ``window`` days: ``points``, ``slope``, ``next_value`` (of the day after the last; null below two points) and ``r2``."""
+    w = Window.partitionBy(by).orderBy(F.desc("day"))  # one row a day
+    end = Window.partitionBy(by)
+    last = days.withColumn("i", F.row_number().over(w)).withColumn("end", F.max("day").over(end)).where(F.col("i") <= window)
+    x, y = -F.datediff("end", "day").cast("double"), F.col(value).cast("double")
+    t = last.groupBy(by).agg(F.count("*").alias("points"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_r2(y, x).alias("r2"))
+    return t.select(by, "points", F.round("b", 6).alias("slope"), F.round(F.col("a") + F.col("b"), 4).alias("next_value"), F.round("r2", 6).alias("r2"))
+
+
+def gamma_rates(rows: DataFrame, by: str, time_col: str, shape0: float = 1.0, rate0: float = 1.0) -> DataFrame:
+    """Gamma posterior of each group's events a day over the span of the whole table: ``n``, ``shape``, ``rate``, ``mean``, ``deviation``."""
+    s = seconds(F.col(time_col))
+    span = rows.agg(((F.max(s) - F.min(s)) / 86_400).alias("days"))
+    t = rows.where(F.col(time_col).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).join(F.broadcast(span))  # one row
+    a, b = shape0 + F.col("n"), rate0 + F.col("days")
+    return t.select(by, "n", a.alias("shape"), F.round(b, 6).alias("rate"), F.round(a / b, 6).alias("mean"), F.round(F.sqrt(a) / b, 6).alias("deviation"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import tidy
+from ledgerloom.operators import concentration as C
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import lots as L
+from ledgerloom.operators import models as M
 from ledgerloom.operators import relational as R
 from ledgerloom.operators import series as S
 from ledgerloom.operators.ranking import ranked
@@ -189,10 +191,39 @@ def exported_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("id long, mint string, token_name string, decimals int").json(f"{scratch.root}/tokens").select("id", "mint", "token_name", "decimals")
 
 
+def sale_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the number of a wallet's mints orders the days until it sells half of a holding."""
+    t = trades(spark, sf_dir)
+    days = S.daily(t, ["wallet", "mint"], "ts", {"net": F.col("amount")})
+    sold = S.first_sales(S.running_balances(days, ["wallet", "mint"], "net"), ["wallet", "mint"])
+    return E.concordance(sold.join(t.groupBy("wallet").agg(F.count_distinct("mint").alias("mints")), "wallet"), "duration", "event", "mints")
+
+
+def projected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.random_projection(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, 8)
+
+
+def volume_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.trend_forecast(S.daily(trades(spark, sf_dir), ["mint"], "ts", {"volume": F.abs("amount")}), "mint", "volume")
+
+
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.gamma_rates(table(spark, sf_dir, "events"), "event_type", "ts")
+
+
+def holder_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holders of a mint in blocks of at most fifty, the largest first."""
+    return G.split_blocks(holders(spark, sf_dir), "mint", [F.desc("balance"), F.col("wallet")], 50).select("mint", "wallet", "part")
+
+
+def wallet_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.breadth(trades(spark, sf_dir), "wallet", "mint", "ts", "amount")
+
+
 QUERIES = {f.__name__: f for f in (
     lifo_lots, realised_exits, open_positions, trade_rolling, position_profiles, mint_flows, trade_cadence, pair_strengths, funder_concentration, funding_reach, funder_windows, coordination_share,
     order_rank_correlation, sale_survival, confidence_ks, confidence_comparison, calibration_split, label_shift, uncertain_labels, balance_health, wallets_as_of, upper_medians, ordered_events,
-    venue_maps, discovered_holders, address_list, nested_transfers, exported_tokens,
+    venue_maps, discovered_holders, address_list, nested_transfers, exported_tokens, sale_concordance, projected_vectors, volume_outlook, event_rates, holder_blocks, wallet_breadth,
 )}
 
 # A unit sold from a holding of so many was bought when the holding last grew over that number.
@@ -269,4 +300,21 @@ SQL = {
     "address_list": "SELECT DISTINCT address FROM tracked_wallets WHERE regexp_full_match(address, '[1-9A-HJ-NP-Za-km-z]{32,44}')",
     "nested_transfers": f"""WITH {TRADES} SELECT signature, CASE WHEN amount < 0 THEN wallet ELSE mint END AS src, CASE WHEN amount < 0 THEN mint ELSE wallet END AS dst, CAST(round(abs(amount) * 100) AS BIGINT) AS amount FROM trades WHERE round(abs(amount) * 100) > 0""",
     "exported_tokens": "SELECT id, mint, token_name, coalesce(decimals, -1) AS decimals FROM tokens",
+    "sale_concordance": f"""WITH {_RUN},
+    e AS (SELECT wallet, mint, min(day) AS a, max(day) AS b, min(CASE WHEN drawdown >= 0.5 - 1e-9 THEN day END) AS sold FROM drawn GROUP BY ALL), k AS (SELECT wallet, count(DISTINCT mint) AS s FROM trades GROUP BY wallet),
+    f AS (SELECT (sold IS NOT NULL)::INT AS event, CAST(coalesce(sold, b) - a AS INT) AS t, s FROM e JOIN k USING (wallet)),
+    p AS (SELECT count(*) FILTER (WHERE x.s > y.s) AS c, count(*) FILTER (WHERE x.s < y.s) AS d, count(*) FILTER (WHERE x.s = y.s) AS t FROM f x JOIN f y ON x.event = 1 AND y.t > x.t)
+    SELECT c AS concordant, d AS discordant, t AS tied, round((c + t / 2) / (c + d + t), 6) AS c_index FROM p""",
+    "projected_vectors": """WITH x AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE len(embedding) = 64),
+    s AS (SELECT i, j, CASE WHEN CAST('0x' || substr(md5(i || ':' || j || ':42'), 1, 8) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 8)) AS j))
+    SELECT vec_id, CAST(j AS INT) AS axis, round(sum(v * sign) / sqrt(8) + 1e-9, 6) + 0.0 AS x FROM x JOIN s USING (i) GROUP BY vec_id, j""",
+    "volume_outlook": f"""WITH {TRADES}, days AS (SELECT mint, CAST(ts AS DATE) AS day, sum(abs(amount)) AS v FROM trades GROUP BY ALL),
+    l AS (SELECT *, CAST(day - max(day) OVER (PARTITION BY mint) AS DOUBLE) AS x FROM days QUALIFY row_number() OVER (PARTITION BY mint ORDER BY day DESC) <= 14)
+    SELECT mint, count(*) AS points, round(regr_slope(v, x), 6) AS slope, round(regr_intercept(v, x) + regr_slope(v, x), 4) AS next_value, round(regr_r2(v, x), 6) AS r2 FROM l GROUP BY mint""",
+    "event_rates": """WITH d AS (SELECT (max(epoch_us(ts)) - min(epoch_us(ts))) / 86400000000.0 AS days FROM events), t AS (SELECT event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY event_type)
+    SELECT event_type, n, 1.0 + n AS shape, round(1 + days, 6) AS rate, round((1 + n) / (1 + days), 6) AS mean, round(sqrt(1 + n) / (1 + days), 6) AS deviation FROM t, d""",
+    "holder_blocks": f"WITH {HOLDERS} SELECT mint, wallet, (row_number() OVER (PARTITION BY mint ORDER BY balance DESC, wallet) - 1) // 50 AS part FROM holders",
+    "wallet_breadth": f"""WITH {TRADES}, p AS (SELECT wallet, mint, sum(abs(amount)) AS v FROM trades GROUP BY ALL), d AS (SELECT wallet, count(DISTINCT CAST(ts AS DATE)) AS active_days FROM trades GROUP BY wallet),
+    t AS (SELECT wallet, count(*) AS items, sum(v) AS t, max(v) AS m, sum(v * v) AS q FROM p GROUP BY wallet)
+    SELECT wallet, items, active_days, round(t, 2) AS turnover, round(m / t, 6) AS largest_share, round(q / (t * t), 6) AS hhi FROM t JOIN d USING (wallet)""",
 }

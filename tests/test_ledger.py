@@ -132,3 +132,28 @@ def test_scratch(spark):
         assert kept.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(s.root + "/0").count()
+
+
+def test_concordance_against_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(30), rng.randrange(2), float(rng.randrange(13)), "x") for _ in range(120)] + [(None, 1, 1.0, "x"), (1, None, 1.0, "x"), (1, 1, None, "x")]
+    whole = [r for r in rows if None not in r[:3]]
+    pairs = [(a[2], b[2]) for a in whole for b in whole if a[1] == 1 and b[0] > a[0]]
+    r = E.concordance(spark.createDataFrame(rows, "t int, e int, s double, n string"), "t", "e", "s").first()
+    assert (r.concordant, r.discordant, r.tied) == (sum(a > b for a, b in pairs), sum(a < b for a, b in pairs), sum(a == b for a, b in pairs))
+    one = E.concordance(spark.createDataFrame(rows[:1], "t int, e int, s double, n string"), "t", "e", "s").first()
+    assert (one.concordant, one.c_index) == (0, None)
+    assert E.concordance(spark.createDataFrame([], "t int, e int, s double"), "t", "e", "s").first().c_index is None
+
+
+def test_projection_split_and_forecast(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 2.0]), (4, None), (5, [1.0])], "k long, v array<float>")
+    x = {(r.k, r.axis): r.x for r in M.random_projection(v, "k", "v", 2, 4).collect()}
+    assert len(x) == 12 and all(abs(abs(x[1, j]) - 0.5) < 1e-6 and x[3, j] == pytest.approx(x[1, j] + x[2, j], abs=1e-5) for j in range(4))
+    from pyspark.sql import functions as F
+
+    b = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 0)], "g string, i int")
+    assert {(r.g, r.i): r.part for r in G.split_blocks(b, "g", [F.col("i")], 2).collect()} == {("a", i): i // 2 for i in range(5)} | {("b", 0): 0}
+    days = spark.createDataFrame([("a", day(i), 2.0 * i) for i in range(20)] + [("b", day(0), 1.0)], "g string, day date, v double")
+    got = {r.g: (r.points, r.slope, r.next_value) for r in M.trend_forecast(days, "g", "v").collect()}
+    assert got == {"a": (14, 2.0, 40.0), "b": (1, None, None)}
