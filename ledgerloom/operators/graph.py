@@ -34,22 +34,23 @@ def components(edges: DataFrame) -> DataFrame:
     what remains when no edge changes. The number of rounds grows with the logarithm of the longest path.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    state = scratch.save(undirected(edges, "u", "v"))
+
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges written, with their number and a fingerprint, both told by the write."""
+        told = Observation()
+        out = scratch.save(e.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        return out, (told.get["n"], told.get["h"])
 
     def least_of(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
-    def finger(e: DataFrame) -> DataFrame:
-        return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-
-    was = finger(state)
-    while was["n"]:
+    state, was = kept(undirected(edges, "u", "v"))
+    while was[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = scratch.save(both.join(least_of(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         small = down.join(least_of(down), "u")
-        after = scratch.save(small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select(F.least("x.a", "x.b").alias("u"), F.greatest("x.a", "x.b").alias("v")).where("u != v").distinct())
-        now = finger(after)
+        after, now = kept(small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select(F.least("x.a", "x.b").alias("u"), F.greatest("x.a", "x.b").alias("v")).where("u != v").distinct())
         scratch.discard(state, large)
         state = after
         if now == was:
@@ -85,27 +86,45 @@ def converged(scratch: Scratch, state: DataFrame, step: Callable[[DataFrame], Da
     raise RuntimeError(f"no convergence within {rounds} rounds")
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 2000, src: str = "src", dst: str = "dst") -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 2000, src: str = "src", dst: str = "dst", growth: float = 4.0) -> DataFrame:
     """(``node``, ``rank``), ranks summing to 1; what dangling nodes hold is spread evenly. Iterated until it settles.
 
-    What is spread evenly only scales the ranks, so the rounds leave it out and the sum is set to 1 at the end.
+    What is spread evenly only scales the ranks, so the rounds leave it out and the sum is set to 1 at the end. The ranks are the sum of the
+    base passed on over 0, 1, 2 .. links. While the links of double length stay within ``growth`` times the first ones, as in
+    forests, each round composes them and so adds as many terms as all before it; otherwise rounds add as many as the links are long.
     """
     scratch = Scratch(edges.sparkSession, "pagerank")
     e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
     out = e.groupBy("src").agg(F.count("*").alias("out"))
-    links = scratch.save(e.join(out, "src"))
+    links = scratch.save(e.join(out, "src").select("src", "dst", (damping / F.col("out")).alias("w")))
     nodes = scratch.save(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    n = nodes.count()
+    n, first = nodes.count(), links.count()
     if not n:
         return nodes.select("node").withColumn("rank", F.lit(0.0))
-    base = nodes.withColumn("x", F.lit(1.0 / n))
 
-    def step(ranks: DataFrame) -> DataFrame:
-        given = links.join(ranks.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (damping * F.col("x") / F.col("out")).alias("x"))
-        return given.unionByName(base).groupBy("node").agg(F.sum("x").alias("x"))
+    def passed(ranks: DataFrame, over: DataFrame) -> DataFrame:
+        return over.join(ranks.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("w") * F.col("x")).alias("x"))
 
-    ranks = converged(scratch, scratch.save(base), step, tolerance, rounds)
-    total = ranks.agg(F.sum("x").alias("s")).first()["s"]
+    ranks, total = scratch.save(nodes.withColumn("x", F.lit(1.0 / n))), 1.0
+    while True:
+        told = Observation()
+        more = scratch.save(ranks.unionByName(passed(ranks, links)).groupBy("node").agg(F.sum("x").alias("x")).observe(told, F.sum("x").alias("s")))
+        before, total = total, told.get["s"]
+        if total - before <= tolerance * total:  # nothing is ever taken away
+            ranks = more
+            break
+        into, onward = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
+        paths = into.join(onward, "node").agg(F.sum(F.col("i") * F.col("o")).alias("p")).first()["p"] or 0
+        if paths > growth * first:
+            base, fixed = ranks, links
+            ranks = converged(scratch, more, lambda x: passed(x, fixed).unionByName(base).groupBy("node").agg(F.sum("x").alias("x")), tolerance, rounds)
+            total = ranks.agg(F.sum("x").alias("s")).first()["s"]
+            break
+        far = links.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("w2"))
+        double = links.join(far, F.col("dst") == F.col("mid")).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
+        longer = scratch.save(double)
+        scratch.discard(links, ranks)
+        links, ranks = longer, more
     return ranks.select("node", F.round(F.col("x") / total, 8).alias("rank"))
 
 

@@ -8,7 +8,8 @@ from ledgerloom.operators import graph as G
 from ledgerloom.operators import models as M
 
 
-def test_pagerank_settles_along_a_long_chain(spark):
+@pytest.mark.parametrize("growth", [4.0, 0.0])
+def test_pagerank_settles_along_a_long_chain(spark, growth):
     links = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)] + [("hub", "n00"), ("n10", "hub"), ("hub", "n05")]
     names = sorted({x for e in links for x in e})
     n, at = len(names), {x: i for i, x in enumerate(names)}
@@ -17,7 +18,7 @@ def test_pagerank_settles_along_a_long_chain(spark):
         a[at[d], at[s]] = 1
     a = np.where(a.sum(axis=0) > 0, a / np.maximum(a.sum(axis=0), 1), 1 / n)
     want = np.linalg.solve(np.eye(n) - 0.85 * a, np.full(n, 0.15 / n))
-    got = {r["node"]: r["rank"] for r in G.pagerank(spark.createDataFrame(links, "src string, dst string")).collect()}
+    got = {r["node"]: r["rank"] for r in G.pagerank(spark.createDataFrame(links, "src string, dst string"), growth=growth).collect()}
     assert set(got) == set(names) and all(abs(got[x] - want[at[x]]) < 1e-8 for x in names)
 
 

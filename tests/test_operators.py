@@ -108,7 +108,7 @@ def test_auc_of_one_class_and_ties(spark):
 def test_isotonic_is_monotone_and_isolation_finds_the_far_one(spark):
     rng = random.Random(5)
     df = spark.createDataFrame([(round(rng.random(), 2), int(rng.random() < 0.5)) for _ in range(500)], "p double, y int")
-    fitted = [r.calibrated for r in M.isotonic(df, places=2).orderBy("p").collect()]
+    fitted = [r.calibrated for r in M.isotonic(df).orderBy("p_from").collect()]
     assert fitted == sorted(fitted)
     rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)] + [(999, 40.0, -40.0), (1000, None, None)]
     scores = {r.k: r.anomaly for r in M.isolation_scores(spark.createDataFrame(rows, "k int, a double, b double"), "k", ["a", "b"]).collect()}
