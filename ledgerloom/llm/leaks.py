@@ -441,6 +441,7 @@ def find_leaks(
     if found is None:
         kind = index.schema["ids"].dataType.elementType.simpleString()
         found = documents.sparkSession.createDataFrame([], f"id {kind}, item_id string, share double, passages {MATCH}, phrases {MATCH}")
+    scratch.discard(index, own)  # what was found is written
     # Few rows are left; repeated item ids fold into one.
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("share", "passages", "phrases")).alias("m"))
     return best.select(F.col("id").alias(id_col), "item_id", F.round("m.share", 6).alias("share"), "m.passages", "m.phrases")
