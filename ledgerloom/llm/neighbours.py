@@ -105,6 +105,10 @@ def search(queries: np.ndarray, reach: np.ndarray, own: np.ndarray, data: np.nda
     q32, d32 = queries.astype(np.float32), data.astype(np.float32)
     leaves = [r[np.argsort(rank[r])] for r in tree.rows]
     blocks = [np.ascontiguousarray(d32[r].T) for r in leaves]
+    # Where each row lies: a query's own one is left out.
+    home, place = np.full(len(data) + 1, -1), np.zeros(len(data) + 1, np.int64)
+    for j, r in enumerate(leaves):
+        home[r], place[r] = j, np.arange(len(r))
     out = []
     for start in range(0, len(queries), 4096):
         part = slice(start, start + 4096)
@@ -127,12 +131,12 @@ def search(queries: np.ndarray, reach: np.ndarray, own: np.ndarray, data: np.nda
             active = np.flatnonzero((bound[:, j] - SLACK) * relax < chord(np.clip(floor, -1, 1)))
             if not len(active):
                 continue
-            rows, got = leaves[j], (q[active] @ blocks[j]).astype(np.float64)
-            itself = np.isin(mine[active], rows)
-            if itself.any():
-                got[itself] = np.where(rows[None, :] == mine[active][itself][:, None], -9.0, got[itself])
-            hit = got.max(axis=1) >= floor[active]
-            active, got = active[hit], got[hit]
+            rows, got = leaves[j], q[active] @ blocks[j]
+            itself = np.flatnonzero(home[mine[active]] == j)
+            got[itself, place[mine[active][itself]]] = -9.0
+            # Most queries find nothing in most leaves; only the others' cosines are looked at one by one.
+            hit = got.max(axis=1) >= np.nextafter(floor[active].astype(np.float32), np.float32(-9))
+            active, got = active[hit], got[hit].astype(np.float64)
             if not len(active):
                 continue
             best = -np.partition(-got, k - 1, axis=1)[:, :k] if got.shape[1] > k else got
