@@ -273,12 +273,14 @@ def carried(
     steps = np.diff(places, append=places[-1] + n)
     if np.where(steps <= run + bridge, steps, run).sum() < least * n:
         return 0.0, []
-    by_item = np.argsort(at_item, kind="stable")
-    at_item, shift = at_item[by_item], at_doc[by_item] - at_item[by_item]
+    shift = at_doc - at_item
+    # In the order of their offset, of which each holds at most one match a place: a text that repeats an item stays linear.
+    by_shift = np.argsort(shift, kind="stable")
+    at_item, shift = at_item[by_shift], shift[by_shift]
     good = np.zeros(len(at_item), bool)
     for i in range(0, len(at_item), 512):
         a, s = at_item[i : i + 512], shift[i : i + 512]
-        from_, to = np.searchsorted(at_item, a[0] - reach), np.searchsorted(at_item, a[-1] + reach, side="right")
+        from_, to = np.searchsorted(shift, s[0] - drift), np.searchsorted(shift, s[-1] + drift, side="right")
         close = (np.abs(at_item[None, from_:to] - a[:, None]) <= reach) & (np.abs(shift[None, from_:to] - s[:, None]) <= drift)
         good[i : i + 512] = close.sum(axis=1) > company
     covered, begins = np.zeros(n + 1, bool), np.full(n, np.iinfo(np.int64).max)

@@ -132,3 +132,9 @@ def test_introductions(spark):
     rows = [("a", "s", "same start one two"), ("b", "s", "same start six"), ("c", "t", "alone here"), ("d", None, "x y"), ("e", None, "x z"), ("f", "s", None), ("g", "s", "")]
     own = {r.item_id: list(r.own) for r in own_words(spark.createDataFrame(rows, "item_id string, suite string, prompt string")).collect()}
     assert own == {k: [term(w) for w in v.split()] for k, v in {"a": "one two", "b": "six", "c": "alone here", "d": "y", "e": "z"}.items()}
+
+
+def test_a_long_text_that_repeats_an_item():
+    seq = [term(w) for w in unique_words(8)]
+    hits = list(search_segment(Segment.build([" ".join(unique_words(8)) + " "] + [(" ".join(unique_words(8)) + " ") * 20_000]), Queries([("a", seq)], 5), 5, 0.08, 0.32))
+    assert [(d, i, share) for d, i, share, _, _ in hits] == [(0, 0, 1.0), (1, 0, 1.0)]
