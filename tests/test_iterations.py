@@ -44,3 +44,20 @@ def test_permutation_test_can_reach_small_p(spark):
     got = {r["k"]: r for r in M.permutation_test(rows, "k", "i", F.col("v")).collect()}
     assert got["high"]["p"] == round(1 / 1001, 6) and got["low"]["p"] == 1.0 and got["high"]["z"] > 5
     assert abs(got["high"]["expected"] - 28) < 2
+
+
+def test_betweenness_searches_from_all_nodes(spark):
+    # A path of 601 nodes, more than any sample: a node i has i before it and 600 - i behind it.
+    path = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(600)], "u string, v string")
+    got = [r["betweenness"] for r in G.betweenness(path).orderBy("node").collect()]
+    assert got == [round(2 * i * (600 - i) / (600 * 599), 8) for i in range(601)]
+
+
+def test_betweenness_of_rings_and_trees_is_the_same_joined(spark):
+    # Two rings that share a node, trees on both, a pair apart.
+    ring = [(f"a{i}", f"a{(i + 1) % 7}") for i in range(7)] + [("a0", "b1"), ("b1", "b2"), ("b2", "b3"), ("b3", "a0")]
+    pairs = spark.createDataFrame(ring + [("a3", "t1"), ("t1", "t2"), ("t1", "t3"), ("b2", "t4"), ("x", "y")], "u string, v string")
+    for got in (G.betweenness(pairs), G._joined_betweenness(G.undirected(pairs, "u", "v"), 99)):
+        got = {r["node"]: r["betweenness"] for r in got.collect()}
+        assert len(got) == 16 and abs(got["t1"] - 2 * (1 + 2 * 11) / (15 * 14)) < 1e-8 and got["x"] == got["t2"] == 0.0 and abs(got["a0"] - 0.37619048) < 1e-8
+    assert {r["node"]: r["betweenness"] for r in G.betweenness(pairs, 99).collect()} == got
