@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numeric import seconds, tidy
 from ledgerloom.operators.graph import converged, shared_item_groups, undirected
 from ledgerloom.operators.ranking import ranked
-from ledgerloom.operators.series import fill, with_gaps
 from ledgerloom.scratch import Scratch
 
 
@@ -41,15 +40,19 @@ def permutation_test(rows: DataFrame, key: str, ident: str, value: Column, repli
 def synchronised_groups(rows: DataFrame, item: str, who: str, time_col: str, tie: str, gap_s: float = 300.0, least: int = 2) -> DataFrame:
     """(``who``, ``group``): entities linked by acting in the same run of an item at least ``least`` times.
 
-    A run is a gap session of the item. Each run is a hub to which its entities link; a pair of entities of
-    the same run is never listed. Entities act together ``least`` times if they share that many hubs, which
-    ``shared_item_groups`` resolves through pairs of hubs.
+    A run is a gap session of the item. Entities act together ``least`` times if they share that many runs, which
+    ``shared_item_groups`` resolves.
     """
-    opened = with_gaps(rows, [item], time_col, [tie]).withColumn("o", F.when(F.col("gap_s").isNull() | (F.col("gap_s") > gap_s), F.col(time_col)))
-    run = fill(opened, [item], time_col, [tie], {"start": F.col("o")})
-    hub = run.select(F.col(who), F.concat_ws("|", F.col(item).cast("string"), F.col("start").cast("string")).alias("run")).distinct()
-    wide = hub.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    return shared_item_groups(hub.join(wide, "run"), who, "run", least)
+    scratch, width = Scratch(rows.sparkSession, "runs"), max(int(gap_s * 1_000_000), 1)
+    # Times of one bucket as wide as the gap are of one run, so runs are told by the buckets' first and last times.
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    timed = rows.select(F.col(item).alias("item"), F.col(who).alias("who"), t.alias("t")).where("t is not null and item is not null and who is not null")
+    acts = scratch.save(timed.groupBy("item", "who", F.floor(F.col("t") / width).alias("bucket")).agg(F.min("t").alias("a"), F.max("t").alias("z")))
+    buckets = scratch.save(acts.groupBy("item", "bucket").agg(F.min("a").alias("a"), F.max("z").alias("z")).withColumn("id", F.monotonically_increasing_id()))
+    along = Window.partitionBy("item").orderBy("bucket")  # an item's buckets are bounded by the calendar
+    opened = buckets.withColumn("o", F.when(F.coalesce(F.col("a") - F.lag("z").over(along) > gap_s * 1_000_000, F.lit(True)), F.col("id")))
+    run = opened.select("item", "bucket", F.last("o", ignorenulls=True).over(along).alias("run"))
+    return shared_item_groups(acts.join(run, ["item", "bucket"]).select(F.col("who").alias(who), "run"), who, "run", least)
 
 
 def eigenvector(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 20_000) -> DataFrame:

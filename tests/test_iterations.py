@@ -61,3 +61,30 @@ def test_betweenness_of_rings_and_trees_is_the_same_joined(spark):
         got = {r["node"]: r["betweenness"] for r in got.collect()}
         assert len(got) == 16 and abs(got["t1"] - 2 * (1 + 2 * 11) / (15 * 14)) < 1e-8 and got["x"] == got["t2"] == 0.0 and abs(got["a0"] - 0.37619048) < 1e-8
     assert {r["node"]: r["betweenness"] for r in G.betweenness(pairs, 99).collect()} == got
+
+
+def test_shared_items_list_neither_pairs_of_items_of_busy_keys_nor_pairs_of_all_keys(spark):
+    # Two keys of 3000 items each make nine million pairs of items; 2000 keys of one item four million pairs of keys.
+    items = [(k, i) for k in ("x", "y") for i in range(3000)] + [("z", i) for i in range(5000, 8000)]
+    rows = items + [(f"s{n:04d}", -1) for n in range(2000)] + [(f"s{n:04d}", -2 - n) for n in range(2000)] + [("t", -2), ("s0000", -3)]
+    held = spark.createDataFrame(rows, "k string, i int")
+    got = {r.k: r.group for r in G.shared_item_groups(held, "k", "i").collect()}
+    assert got["x"] == got["y"] == "x" and "z" not in got and "t" not in got
+    assert got["s0000"] == got["s0001"] == "s0000" and set(got) == {"x", "y", "s0000", "s0001"}
+
+
+@pytest.mark.parametrize("dear", [0.0, 1e9])
+def test_shared_items_are_the_same_either_way(spark, dear):
+    rng = np.random.default_rng(5)
+    for keys, items in ((40, 90), (80, 12)):
+        rows = sorted({(f"k{a}", int(b)) for a, b in zip(rng.integers(0, keys, 150) ** 2 // keys, rng.integers(0, items, 150), strict=True)})
+        own = {k: {i for x, i in rows if x == k} for k, _ in rows}
+        group = {k: k for k in own}
+        for _ in own:
+            for a in own:
+                for b in own:
+                    if a != b and len(own[a] & own[b]) > 1:
+                        group[a] = group[b] = min(group[a], group[b])
+        linked = {k for k in own if any(k != b and len(own[k] & own[b]) > 1 for b in own)}
+        got = {r.k: r.group for r in G.shared_item_groups(spark.createDataFrame(rows, "k string, i int"), "k", "i", dear=dear).collect()}
+        assert got == {k: group[k] for k in linked} and len(got) > 1
