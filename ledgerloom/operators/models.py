@@ -9,10 +9,11 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import seconds, tidy
+from ledgerloom.operators.arrays import WHOLE_EDGES, numbered, principal
 from ledgerloom.operators.graph import converged, shared_item_groups, undirected
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.scratch import Scratch
@@ -56,9 +57,24 @@ def synchronised_groups(rows: DataFrame, item: str, who: str, time_col: str, tie
 
 
 def eigenvector(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 20_000) -> DataFrame:
-    """(``node``, ``centrality``) of an undirected graph by power iteration on A + I, length one; iterated until it settles."""
+    """(``node``, ``centrality``) of an undirected graph by power iteration on A + I, length one; iterated until it settles.
+
+    Up to ``WHOLE_EDGES`` pairs one task iterates over arrays; beyond, each round is a join and a sum.
+    """
     scratch = Scratch(edges.sparkSession, "eigenvector")
-    e = undirected(edges, "u", "v")
+    e = scratch.save(undirected(edges, "u", "v"))
+    if e.count() <= WHOLE_EDGES:
+        def iterate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if found := list(parts):
+                names, u, v = numbered(pa.Table.from_batches(found))
+                x = principal(len(names), u, v, tolerance, rounds)
+                yield pa.record_batch([names, pa.array(np.full(len(names), np.nan) if x is None else x)], ["node", "x"])
+
+        told = Observation()
+        state = scratch.save(e.coalesce(1).mapInArrow(iterate, f"node {e.schema['u'].dataType.simpleString()}, x double").observe(told, F.count_if(F.isnan("x")).alias("n")))
+        if told.get["n"]:
+            raise RuntimeError(f"no convergence within {rounds} rounds")
+        return state.select("node", F.round("x", 6).alias("centrality"))
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     linked = scratch.save(both.unionByName(both.select("u", F.col("u").alias("v")).distinct()))
     nodes = scratch.save(linked.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)))

@@ -88,3 +88,13 @@ def test_shared_items_are_the_same_either_way(spark, dear):
         linked = {k for k in own if any(k != b and len(own[k] & own[b]) > 1 for b in own)}
         got = {r.k: r.group for r in G.shared_item_groups(spark.createDataFrame(rows, "k string, i int"), "k", "i", dear=dear).collect()}
         assert got == {k: group[k] for k in linked} and len(got) > 1
+
+
+def test_eigenvector_of_many_rounds_takes_one_job(spark):
+    # Two rings of equal degree, one with a chord: the rounds are many, the jobs a handful.
+    ring = [(f"a{i:02d}", f"a{(i + 1) % 40:02d}") for i in range(40)] + [(f"b{i:02d}", f"b{(i + 1) % 40:02d}") for i in range(40)] + [("b00", "b20")]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("eigenvector", "")
+    got = {r["node"]: r["centrality"] for r in M.eigenvector(spark.createDataFrame(ring, "u string, v string")).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 80 and got["a00"] == 0.0 and got["b00"] == got["b20"] == max(got.values()) and len(jobs("eigenvector")) < 12
