@@ -9,28 +9,34 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import seconds, tidy
-from ledgerloom.operators.arrays import WHOLE_EDGES, numbered, principal
+from ledgerloom.operators.arrays import WHOLE_EDGES, by_length, digests, numbered, principal
 from ledgerloom.operators.graph import converged, shared_item_groups, undirected
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.scratch import Scratch
 
 
-def permutation_test(rows: DataFrame, key: str, ident: str, value: Column, replicates: int = 1000) -> DataFrame:
+def permutation_test(rows: DataFrame, key: str, ident: str, value: Column, replicates: int = 1000, most: int = 8_000_000) -> DataFrame:
     """Per key: mean of ``value``, its mean and deviation when values are dealt out anew, ``z`` and ``p`` (at least as large).
 
     A replicate orders all rows by a hash of (row, replicate) and gives the i-th value to the i-th row, so it
-    is repeatable anywhere; the least ``p`` is 1 / (``replicates`` + 1). Ranks are distributed; what is aggregated per replicate is one row a key.
+    is repeatable anywhere; the least ``p`` is 1 / (``replicates`` + 1). Up to ``most`` rows are handed whole to tasks, each of which deals some
+    replicates; of more, ranks are distributed. What is aggregated per replicate is one row a key.
     """
-    scratch = Scratch(rows.sparkSession, "permutation")
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "permutation")
     base = scratch.save(rows.select(F.col(key).alias("k"), F.col(ident).cast("string").alias("i"), value.cast("double").alias("v")).where("k is not null and v is not null"))
-    each = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    slots = ranked(base.select("k", "i"), [], [F.col("i")]).select("rank", "k")
-    dealt = ranked(each.select("rep", "i", "v"), ["rep"], [F.md5(F.concat_ws(":", "i", "rep")), F.col("i")]).select("rep", "rank", "v")
-    null = slots.join(dealt, "rank").groupBy("rep", "k").agg(F.avg("v").alias("m"))
+    if base.count() <= most:
+        null = _dealt_in_tasks(base, replicates)
+    else:
+        each = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        slots = ranked(base.select("k", "i"), [], [F.col("i")]).select("rank", "k")
+        dealt = ranked(each.select("rep", "i", "v"), ["rep"], [F.md5(F.concat_ws(":", "i", "rep")), F.col("i")]).select("rep", "rank", "v")
+        null = slots.join(dealt, "rank").groupBy("rep", "k").agg(F.avg("v").alias("m"))
     seen = base.groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("observed"))
     joined = null.join(seen, "k").groupBy("k").agg(
         F.first("n").alias("n"), F.first("observed").alias("observed"), F.avg("m").alias("expected"), F.stddev_pop("m").alias("sd"), F.count_if(F.col("m") >= F.col("observed")).alias("above"))
@@ -38,6 +44,38 @@ def permutation_test(rows: DataFrame, key: str, ident: str, value: Column, repli
     return joined.select(F.col("k").alias(key), "n", F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), F.round(z, 4).alias("z"), F.round((F.col("above") + 1) / (replicates + 1), 6).alias("p"))
 
 
+def _dealt_in_tasks(base: DataFrame, replicates: int) -> DataFrame:
+    """(``rep``, ``k``, ``m``): the mean of what each key (``k``) is dealt of the values (``v``) in each replicate, by rows' names (``i``)."""
+    spark = base.sparkSession
+    t = base.select("i", "v", "k").toArrow().combine_chunks()
+    t = t.take(pc.sort_indices(t, [("i", "ascending"), ("v", "ascending")], null_placement="at_start")).combine_chunks()
+    kind = f"rep long, k {base.schema['k'].dataType.simpleString()}, m double"
+    if not t.num_rows:
+        return spark.createDataFrame([], kind)
+    names, keys = t["i"].chunk(0), t["k"].chunk(0).dictionary_encode()
+    none = names.null_count
+    given = spark.sparkContext.broadcast((none, list(by_length(names[none:])), t["v"].to_numpy(), keys.indices.to_numpy(), keys.dictionary))
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, texts, values, slots, keys = given.value
+        n = np.bincount(slots)
+        for part in parts:
+            for rep in part.column(0).to_pylist():
+                words = np.empty((4, len(values)), np.uint32)
+                words[:, :none] = digests(np.frombuffer(str(rep).encode(), np.uint8)[None])
+                for at, text in texts:
+                    words[:, none + at] = digests(np.hstack([text, np.broadcast_to(np.frombuffer(f":{rep}".encode(), np.uint8), (len(text), len(str(rep)) + 1))]))
+                high = words[0].astype(np.uint64) << np.uint64(32) | words[1]
+                order = np.argsort(high)
+                sorted_ = high[order]
+                if (sorted_[1:] == sorted_[:-1]).any():
+                    order = np.lexsort((words[3], words[2], high))
+                yield pa.record_batch([pa.array(np.full(len(n), rep)), keys, pa.array(np.bincount(slots, weights=values[order]) / n)], ["rep", "k", "m"])
+
+    tasks = min(replicates, 8 * spark.sparkContext.defaultParallelism)
+    return spark.range(1, replicates + 1, 1, tasks).mapInArrow(deal, kind)
+
+
 def synchronised_groups(rows: DataFrame, item: str, who: str, time_col: str, tie: str, gap_s: float = 300.0, least: int = 2) -> DataFrame:
     """(``who``, ``group``): entities linked by acting in the same run of an item at least ``least`` times.
 

@@ -98,3 +98,13 @@ def test_eigenvector_of_many_rounds_takes_one_job(spark):
     got = {r["node"]: r["centrality"] for r in M.eigenvector(spark.createDataFrame(ring, "u string, v string")).collect()}
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(got) == 80 and got["a00"] == 0.0 and got["b00"] == got["b20"] == max(got.values()) and len(jobs("eigenvector")) < 12
+
+
+def test_values_are_dealt_in_tasks_as_by_ranks(spark):
+    # Names of several lengths, beyond one block of MD5, and no row for each (row, replicate).
+    rows = spark.createDataFrame([("abc"[n % 3], ("x" * (n % 60)) + str(n), float(n * n % 97)) for n in range(200)], "k string, i string, v double")
+    same = [sorted(map(tuple, M.permutation_test(rows, "k", "i", F.col("v"), 20, most).collect())) for most in (200, 199)]
+    assert same[0] == same[1] and len(same[0]) == 3
+    assert M.permutation_test(rows.limit(0), "k", "i", F.col("v"), 20).count() == 0
+    plan = M.permutation_test(rows, "k", "i", F.col("v"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "explode" not in plan
