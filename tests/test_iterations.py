@@ -108,3 +108,13 @@ def test_values_are_dealt_in_tasks_as_by_ranks(spark):
     assert M.permutation_test(rows.limit(0), "k", "i", F.col("v"), 20).count() == 0
     plan = M.permutation_test(rows, "k", "i", F.col("v"))._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "explode" not in plan
+
+
+def test_walks_of_whole_graphs_are_those_joined_and_nothing_is_stored(spark):
+    names = [f"n{'x' * (5 * i)}é{i}" for i in range(12)]
+    pairs = spark.createDataFrame([(names[i], names[j]) for i in range(12) for j in range(i) if (i * j) % 3 == 1 or j == 0], "u string, v string")
+    got = G.random_walks(pairs, 12, 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, G._joined_walks(G.undirected(pairs, "u", "v"), 12, 30, 42).collect())) and got.count() == 144
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and "parquet" not in plan
+    assert G.random_walks(pairs.limit(0)).count() == 0
