@@ -118,3 +118,16 @@ def test_walks_of_whole_graphs_are_those_joined_and_nothing_is_stored(spark):
     plan = got._jdf.queryExecution().toString()
     assert "Join" not in plan and "parquet" not in plan
     assert G.random_walks(pairs.limit(0)).count() == 0
+
+
+def test_node_vectors_are_learned_in_parts_and_tell_groups_apart(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    parts, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, *a: (parts.append(self.getNumPartitions()), fit(self, *a))[1])
+    clique = lambda k: [(f"{k}{i}", f"{k}{j}") for i in range(5) for j in range(i)]
+    walks = G.random_walks(spark.createDataFrame(clique("a") + clique("b"), "u string, v string"))
+    found = {r["node"]: np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in G.node_vectors(walks).collect()}
+    assert parts == [spark.sparkContext.defaultParallelism] and parts[0] > 1 and len(found) == 10
+    mean = lambda same: np.mean([found[x] @ found[y] for x in found for y in found if x < y and (x[0] == y[0]) == same])
+    assert mean(True) > mean(False) + 0.3
