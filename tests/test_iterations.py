@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import models as M
+from ledgerloom.operators.arrays import Contexts, fitted
 
 
 @pytest.mark.parametrize("growth", [4.0, 0.0])
@@ -131,3 +132,52 @@ def test_node_vectors_are_learned_in_parts_and_tell_groups_apart(spark, monkeypa
     assert parts == [spark.sparkContext.defaultParallelism] and parts[0] > 1 and len(found) == 10
     mean = lambda same: np.mean([found[x] @ found[y] for x in found for y in found if x < y and (x[0] == y[0]) == same])
     assert mean(True) > mean(False) + 0.3
+
+
+def test_vectors_are_learned_from_counts_of_all_walks(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    clique = lambda k: [(f"{k}{i}", f"{k}{j}") for i in range(6) for j in range(i)]
+    pairs = spark.createDataFrame(clique("a") + clique("bé") + [("c1", "c2")], "u string, v string")
+    joined = G.learned_vectors(pairs, walks=2, length=4, most=0)
+    monkeypatch.setattr(Word2Vec, "fit", None)  # a step for each of a billion pairs of words
+    got = G.learned_vectors(pairs)
+    assert got.dtypes == joined.dtypes and {r["node"] for r in joined.collect()} == {r["node"] for r in got.collect()}
+    rows = got.collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, G.learned_vectors(pairs).collect()))
+    found = {r["node"]: np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in rows}
+    assert len(rows) == len(found) == 14 and {len(x) for x in found.values()} == {64}
+    mean = lambda same: np.mean([found[x] @ found[y] for x in found for y in found if x < y and (x[0] == y[0]) == same])
+    assert mean(True) > mean(False) + 0.3
+    assert G.learned_vectors(pairs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_contexts_count_every_pair_within_the_window(most):
+    rng = np.random.default_rng(2)
+    paths = [rng.integers(0, 9, (4, 7)), rng.integers(0, 500, (2, 7)), np.full((1, 7), 3)]
+    want = np.zeros((500, 500))
+    for walk in (w for p in paths for w in p):
+        for i in range(7):
+            for j in range(7):
+                if 0 < abs(i - j) <= 3:
+                    want[walk[i], walk[j]] += (4 - abs(i - j)) / 3
+    counted, got = Contexts(500, 7, 3, most), np.zeros((500, 500))
+    for p in paths:
+        counted.add(p)
+    a, b, c = counted.take()
+    assert len(set(zip(a, b, strict=True))) == len(a) and (np.diff(a) >= 0).all() and not len(counted.take()[0])
+    got[a, b] = c
+    assert np.allclose(got, want)
+
+
+def test_descent_lowers_the_loss_of_every_row():
+    rng = np.random.default_rng(3)
+    seen, drawn, counts, weight = rng.standard_normal((40, 8)), rng.standard_normal((30, 8)), rng.integers(0, 50, (12, 40)), rng.random(12)
+    loss = lambda x: (counts * np.logaddexp(0, -x @ seen.T)).sum(axis=1) + weight * np.logaddexp(0, x @ drawn.T).sum(axis=1)
+    for scale in (0.01, 1, 30):
+        x = rng.standard_normal((12, 8)) * scale
+        for _ in range(6):
+            x, was = fitted(x, seen, counts, drawn, weight, 1), x
+            assert (loss(x) <= loss(was) + 1e-9).all()
+        assert (loss(fitted(x, seen, counts, drawn, weight, 500)) <= loss(x)).all()
